@@ -56,3 +56,54 @@ def utf8_rows(batch: pa.RecordBatch, text: int = 1) -> Iterator[tuple[int | None
     column = batch.column(text)
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     yield from zip(ids, column.cast(pa.large_binary() if wide else pa.binary()).to_pylist(), strict=True)
+
+
+BITMAP_BITS = 1 << 25  # 4 MB at most, however many keys there are
+
+
+def key_bitmap(keys: DataFrame, column: str):
+    """A broadcast bitmap of 64-bit keys. Its size is fixed, so more keys only let more rows pass it."""
+    import numpy as np
+
+    bit = F.pmod(F.col(column), F.lit(BITMAP_BITS))
+    words = keys.select(bit.alias("b")).groupBy(F.floor(F.col("b") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b % 64 AS INT))")).alias("bits"))
+    got = words.toArrow()
+    bitmap = np.zeros(BITMAP_BITS // 64, np.int64)
+    bitmap[got.column("w").to_numpy()] = got.column("bits").to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+
+
+def in_bitmap(bitmap, keys):
+    """Boolean array: which of the int64 keys may be in the bitmap (no false negatives)."""
+    import numpy as np
+
+    bit = np.mod(keys, BITMAP_BITS).astype(np.uint64)
+    return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
+
+
+def row_keys(docs: DataFrame) -> DataFrame:
+    """Add _k1, _k2: 128 bits that identify a row's doc_id, source and text; equal rows share them."""
+    return docs.withColumns({"_k1": F.xxhash64("doc_id", "source", "text"), "_k2": F.xxhash64(F.lit("second"), "text", "doc_id", "source")})
+
+
+def drop_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs without the rows whose (_k1, _k2) are in keys.
+
+    Rows that miss a bitmap of the keys pass without a shuffle; only the others meet the keys in an
+    exact anti-join, so the texts of kept documents stay where they were read.
+    """
+    schema = docs.schema
+    sent = key_bitmap(keys, "_k1")
+    keyed = row_keys(docs)
+
+    def side(hit: bool):
+        def run(it):
+            bitmap = sent.value
+            for batch in it:
+                yield batch.filter(pa.array(in_bitmap(bitmap, batch.column("_k1").to_numpy()) == hit))
+
+        return run
+
+    clear = keyed.mapInArrow(side(False), keyed.schema)
+    maybe = keyed.mapInArrow(side(True), keyed.schema).join(keys.select("_k1", "_k2").distinct(), ["_k1", "_k2"], "left_anti")
+    return clear.unionByName(maybe).select(*schema.names)
