@@ -13,8 +13,10 @@ import numpy as np
 PACKED = 7  # symbols of 9 bits that the first sort compares
 
 
-def sorted_suffixes(codes: np.ndarray) -> np.ndarray:
-    """Suffix array of codes 0 (separator) and 1..256; a suffix ends at its separator, equal ones go by place."""
+def sorted_suffixes(codes: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Suffix array of codes 0 (separator) and 1..256; a suffix ends at its separator, equal ones go by place.
+
+    With a depth, suffixes that agree in so many symbols may stay in any order."""
     n = len(codes)
     key = np.zeros(n, np.uint64)
     open_ = np.ones(n, bool)  # no separator among the symbols so far
@@ -32,7 +34,7 @@ def sorted_suffixes(codes: np.ndarray) -> np.ndarray:
     h = PACKED
     single = fresh & np.append(fresh[1:], True)
     todo = np.flatnonzero(~single)  # places in the order that are not settled, always whole groups
-    while len(todo):
+    while len(todo) and (depth is None or h < depth):
         who = order[todo]
         pair = (rank[who] << 32) | rank[np.minimum(who + h, n - 1)]
         by = np.argsort(pair, kind="stable")
