@@ -16,8 +16,8 @@ import regex
 import tiktoken
 
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
-CACHE_WORDS = 300_000
-CHUNK = 1 << 21  # bytes of text handled by one set of arrays; a longer text is a chunk of its own
+CACHE_WORDS = 80_000
+CHUNK = 1 << 19  # bytes of text handled by one set of arrays; a longer text is a chunk of its own
 
 
 def byte_alphabet() -> dict[str, int]:

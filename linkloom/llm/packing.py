@@ -67,7 +67,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
-def _portions(texts: list[bytes], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def _portions(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     at = 0
     while at < len(texts):
         end, size = at + 1, len(texts[at])
