@@ -37,27 +37,27 @@ class _Powers:
         return cls.up, cls.down
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, ASCII letters in lower case, of texts laid end to end, and for each
-    text (and the end) the number of words before it."""
+def cut_words(texts: list[bytes], space: np.ndarray, byte_mix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts laid end to end: the bytes, where words begin and end, their 64-bit hashes, and for each
+    text (and the end) the number of words before it. space: which bytes part words; byte_mix: of each byte."""
     data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     edges = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    space = SPACE[data]
-    change = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if len(data) and not space[0]:
+    apart = space[data]
+    change = np.flatnonzero(apart[1:] != apart[:-1]) + 1
+    if len(data) and not apart[0]:
         change = np.concatenate([[0], change])
     starts, ends = change[0::2], change[1::2]
     up, down = _Powers.upto(len(data) + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_MIX[data] * up[: len(data)], out=total[1:])
+        np.cumsum(byte_mix[data] * up[: len(data)], out=total[1:])
         hashes = (total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)
-    return hashes, np.searchsorted(starts, edges)
+    return data, starts, ends, hashes, np.searchsorted(starts, edges)
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its 5-word shingles; of fewer words, one of the whole sequence."""
-    words, first = word_hashes(texts)
+    _, _, _, words, first = cut_words(texts, SPACE, BYTE_MIX)
     with np.errstate(over="ignore"):
         windows = max(0, len(words) - WORDS + 1)
         total = np.full(windows, LENGTH_MIX[WORDS])
