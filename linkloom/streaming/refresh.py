@@ -18,7 +18,8 @@ class RankFollower:
         self.options = {"dangling": "redistribute", "tol": 1e-10} | options
         self.edges = cut(edges.select("src", "dst").distinct())
         self.n = node_count(self.edges)
-        self.ranks = pagerank(self.edges, n=self.n, **self.options).ranks
+        full = {k: v for k, v in self.options.items() if k != "hops"}
+        self.ranks = pagerank(self.edges, n=self.n, **full).ranks
         self.batches = 0
 
     def add(self, batch: DataFrame, number: int = -1) -> None:
