@@ -285,27 +285,18 @@ class Scanner:
         found: list[list[tuple[int, int]]] = [[] for _ in self.backward]
         if not hits:
             return found
-        masks, before = d.mask, [-2] * len(found)
-        runs: list[list[int]] = [[] for _ in found]  # ends, the last of each run of adjoining ones
+        last = [0] * len(found)
         for at, s in hits:
-            bits = int(masks[s // d.width])
+            bits = int(d.mask[s // d.width])
             while bits:
                 k = (bits & -bits).bit_length() - 1
                 bits &= bits - 1
-                if before[k] == at - 1:
-                    runs[k][-1] = at + 1
-                else:
-                    runs[k].append(at + 1)
-                before[k] = at
-        for k, ends in enumerate(runs):
-            last = 0
-            for end in ends:
-                if end <= last:
+                if at < last[k]:  # inside the match found before
                     continue
-                start = _reach(self.backward[k], data, end - 1, last - 1, -1)
+                start = _reach(self.backward[k], data, at, last[k] - 1, -1)
                 if start is not None:
-                    last = _reach(self.anchored[k], data, start, len(data), 1) + 1
-                    found[k].append((start, last))
+                    last[k] = _reach(self.anchored[k], data, start, len(data), 1) + 1
+                    found[k].append((start, last[k]))
         return found
 
 

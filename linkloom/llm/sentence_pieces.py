@@ -257,8 +257,12 @@ class PieceModel:
             return ids
         if ids and ids[0] == self.runs[1]:
             run, ids = run + 1, ids[1:]
-        most = max(self.runs)
-        return [self.runs[most]] * (run // most) + ([self.runs[run % most]] if run % most else []) + ids
+        stack: list[int] = []  # lengths of run pieces; all score alike, so the leftmost pair that is a piece merges first
+        for _ in range(run):
+            stack.append(1)
+            while len(stack) > 1 and stack[-2] + stack[-1] in self.runs:
+                stack[-2:] = [stack[-2] + stack[-1]]
+        return [self.runs[n] for n in stack] + ids
 
     def decode(self, ids: list[int]) -> bytes:
         text = b"".join(map(self.decoded.__getitem__, ids)).replace(META.encode(), b" ")
