@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.lineage import cut, ensure_checkpoint_dir
+
+__all__ = ["cut", "ensure_checkpoint_dir"]
 HELD_OUT_BUCKET = 2  # crc32(doc_id as text) mod 4 that is never learned from
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -20,28 +23,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == HELD_OUT_BUCKET, F.lit(False))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of spark.checkpoint.dir; choose a local one only where the cluster names none."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linkloom-ckpt-"))
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder and forget the lineage; survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def small_batches(spark: SparkSession) -> None:
+    """Let Python tasks get rows in Arrow batches of a few megabytes, unless the application has set another size."""
+    if not spark.sparkContext.getConf().contains(BATCH_BYTES):
+        spark.conf.set(BATCH_BYTES, "4m")
 
 
-def batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 2048, max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 2048, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Pack row tuples into record batches of bounded row count and (roughly) bounded bytes."""
     columns: list[list] = [[] for _ in schema]
     weight = 0
     for row in rows:
         for column, value in zip(columns, row, strict=True):
             column.append(value)
-            if isinstance(value, (bytes, str)):
+            if hasattr(value, "__len__"):
                 weight += len(value)
         if len(columns[0]) >= size or weight >= max_bytes:
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

@@ -6,10 +6,11 @@ A byte goes if a string of ``length`` bytes that covers it also starts anywhere
    equal windows have equal minimizers at equal offsets. Windows whose minimizer occurs once are unique;
    counting minimizers is one small aggregation.
 2. Snippets. The other windows go, by minimizer, to index tasks as snippets: the text under neighbouring
-   windows with the same minimizer. A task sends at most two copies of a snippet's text.
-3. Index. A task lays its distinct snippets (two copies of those it has twice) end to end, a few
-   megabytes at a time, builds a run-length compressed Burrows-Wheeler transform with the suffixes
-   sampled at run ends, streams the matching statistics, and marks windows with a match of full length.
+   windows with the same minimizer. A task sends the text of a snippet once, however often it has it.
+3. Index. A task lays its distinct snippets end to end, about half a megabyte at a time, builds a
+   run-length compressed Burrows-Wheeler transform with the suffixes sampled at run ends, streams the
+   matching statistics, and marks windows with a match of full length. A snippet is in the index once,
+   with the number of its occurrences; if that is two or more, all its windows have a match.
 4. A minimizer with very many occurrences is spread over several index tasks; what is unique in its own
    task is then compared across tasks by the fingerprints of the windows, so no task holds it whole.
 
@@ -36,8 +37,8 @@ from linkloom.llm.shingles import _Powers, mix
 
 LENGTH = 400
 GRAM = 32  # bytes of the strings that minimizers are taken from
-PORTION = 1 << 19  # bytes of text scanned at a time
-INDEX_BYTES = 1 << 20  # snippet text of one index
+PORTION = 1 << 18  # bytes of text scanned at a time
+INDEX_BYTES = 1 << 19  # snippet text of one index
 SPREAD = 4_000  # occurrences of a minimizer that one index task takes
 BYTE_MIX = mixed(np.arange(256) + 70_000)
 
@@ -132,14 +133,13 @@ def snippets(docs: DataFrame, length: int, spread: int) -> DataFrame:
     schema = pa.schema([("minimizer", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int64()), ("windows", pa.int32()), ("digest", pa.int64()), ("bytes", pa.binary())])
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        bitmap, sent_before = sent.value, {}
+        bitmap, shown = sent.value, set()
         for scan, (k1, k2), base in _scans(it, length):
             pick = np.flatnonzero(in_bitmap(bitmap, scan.minimizer))
             columns = (pick, scan.minimizer[pick], scan.text[pick], scan.first[pick], scan.windows[pick], scan.digests(pick) if len(pick) else pick)
             for i, h, t, first, windows, digest in zip(*(c.tolist() for c in columns), strict=True):
-                copies = sent_before.get((h, digest), 0)
-                sent_before[h, digest] = copies + 1
-                yield h, k1[t], k2[t], base[t] + first, windows, digest, scan.snippet(i) if copies < 2 else None
+                yield h, k1[t], k2[t], base[t] + first, windows, digest, None if (h, digest) in shown else scan.snippet(i)
+                shown.add((h, digest))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches(rows(it), schema, 4096, 4 << 20)
@@ -161,13 +161,14 @@ def _indexed(group: list[tuple], length: int) -> Iterator[tuple[tuple, np.ndarra
     number = {}
     for key, (copies, text) in place.items():
         number[key] = len(texts)
-        texts += [text] * min(2, copies)
+        texts.append(text)
     index = RunIndex(texts)
     long = index.statistics() >= length
     begin = index.ends - index.lengths
     for row in group:
         k = number[row[0], row[6]]
-        yield row, long[begin[k] : begin[k] + row[5]], texts[k]
+        copies = place[row[0], row[6]][0]
+        yield row, long[begin[k] : begin[k] + row[5]] | (copies > 1), texts[k]
 
 
 def _runs(marked: np.ndarray) -> list[tuple[int, int]]:

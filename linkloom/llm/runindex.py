@@ -37,7 +37,7 @@ def sorted_suffixes(codes: np.ndarray, depth: int | None = None) -> np.ndarray:
     while len(todo) and (depth is None or h < depth):
         who = order[todo]
         pair = (rank[who] << 32) | rank[np.minimum(who + h, n - 1)]
-        by = np.argsort(pair, kind="stable")
+        by = np.argsort(pair)
         who, pair = who[by], pair[by]
         order[todo] = who
         fresh = np.ones(len(todo), bool)
