@@ -1,16 +1,21 @@
 """PageRank in one operator; the presets are its strategies by name.
 
 Edge weights 1/out-degree are computed once and kept partitioned by source. An iteration shuffles the
-contributions once, pre-aggregated per task. Where no scalar of the current ranks is needed (a fixed
-number of iterations, and no dangling mass to spread) several iterations form one plan; else one
-aggregate per iteration gives the change and the dangling mass together.
+contributions once, pre-aggregated per task.
+
+From uniform ranks, iterations run in blocks. With the transition matrix A, damping d and the scalar c
+that every node gets in an iteration (teleport and spread dangling rank), ranks after j iterations of a
+block are ``d^j A^j x + sum_i d^i c_(j-1-i) A^i 1``. So a block only multiplies by A, one small job each,
+and one aggregate over its vectors yields all scalars, and all changes, of the block at once. With given
+ranks or an active set one aggregate per iteration gives the change and the dangling mass together.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.lineage import cut
@@ -18,7 +23,8 @@ from linkloom.operators.graph import dense_nodes, node_count
 
 DAMPING = 0.85
 MAX_ITERATIONS = 100
-UNROLL = 3
+UNROLL = 3  # iterations in one plan where nothing is measured in between
+BLOCK = 8  # iterations of a block; half as many where each one's change is wanted
 
 
 @dataclass
@@ -68,6 +74,11 @@ def pagerank(
     teleport = (1 - damping) / n
     links = edges.select("src", "dst").join(nodes.select(F.col("node_id").alias("dst")), "dst", "left_semi")
     out = weighted(links).persist()
+    if init is None and active is None:
+        try:
+            return _in_blocks(out, nodes, n, damping, dangling == "redistribute", max_iter, tol, min_iter)
+        finally:
+            out.unpersist()
     sources = links.select(F.col("src").alias("node_id")).distinct()
     state = nodes.select("node_id").join(sources.withColumn("has", F.lit(1)), "node_id", "left").select("node_id", F.col("has").isNull().alias("sink"))
     state = state.join(init.select("node_id", "rank"), "node_id", "left") if init is not None else state.withColumn("rank", F.lit(1.0 / n))
@@ -101,6 +112,57 @@ def pagerank(
     return Ranking(state.select("node_id", "rank"), done, deltas, converged)
 
 
+def _in_blocks(out: DataFrame, nodes: DataFrame, n: int, damping: float, spreads: bool, max_iter: int, tol: float | None, min_iter: int) -> Ranking:
+    nodes = cut(nodes.select("node_id"))
+    sinks = cut(nodes.join(out.select(F.col("src").alias("node_id")), "node_id", "left_anti"))
+    spreads = spreads and not sinks.isEmpty()
+    teleport, size = (1 - damping) / n, BLOCK if tol is None else BLOCK // 2
+    start = nodes.withColumn("v", F.lit(1.0 / n))
+    ones: list[DataFrame] = []  # A^i times the vector of ones, from the first block
+    ones_mass: list[float] = []
+    deltas: list[float] = []
+    done = 0
+    while done < max_iter:
+        m = min(size, max_iter - done)
+        vectors = [start]
+        for _ in range(m):
+            step = out.join(vectors[-1].select(F.col("node_id").alias("src"), "v"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+            vectors.append(cut(step))
+        mass = [0.0] * m
+        if spreads:
+            tagged = reduce(DataFrame.unionAll, [v.select("node_id", "v", F.lit(j).alias("j")) for j, v in enumerate(vectors[:m])])
+            for row in tagged.join(sinks, "node_id", "left_semi").groupBy("j").agg(F.sum("v").alias("mass")).collect():  # a row for each iteration of the block
+                mass[row["j"]] = row["mass"]
+        if not ones:
+            ones = [v.select("node_id", (F.col("v") * n).alias("v")) for v in vectors[:m]]
+            ones_mass = [x * n for x in mass]
+        shared: list[float] = []  # what every node gets in each iteration
+        for j in range(m):
+            held = damping**j * mass[j] + sum(damping**i * shared[j - 1 - i] * ones_mass[i] for i in range(j))
+            shared.append(teleport + (damping * held / n if spreads else 0.0))
+        parts = [(f"v{j}", v) for j, v in enumerate(vectors)] + [(f"u{i}", ones[i]) for i in range(m)]
+        rows = reduce(DataFrame.unionAll, [v.select("node_id", "v", F.lit(name).alias("of")) for name, v in parts])
+        wide = rows.groupBy("node_id").agg(*(F.coalesce(F.sum(F.when(F.col("of") == name, F.col("v"))), F.lit(0.0)).alias(name) for name, _ in parts))
+
+        def ranks_after(j: int) -> Column:
+            total = damping**j * F.col(f"v{j}")
+            for i in range(j):
+                total = total + damping**i * shared[j - 1 - i] * F.col(f"u{i}")  # noqa: B023
+            return total
+
+        if tol is None:
+            start, done = cut(wide.select("node_id", ranks_after(m).alias("v"))), done + m
+            continue
+        after = cut(wide.select("node_id", *(ranks_after(j).alias(f"x{j}") for j in range(m + 1))))
+        changes = after.agg(*(F.sum(F.abs(F.col(f"x{j + 1}") - F.col(f"x{j}"))).alias(f"d{j}") for j in range(m))).first()
+        for j in range(m):
+            deltas.append(changes[j])
+            if changes[j] < tol and done + j + 1 >= min_iter:
+                return Ranking(after.select("node_id", F.col(f"x{j + 1}").alias("rank")), done + j + 1, deltas, True)
+        start, done = after.select("node_id", F.col(f"x{m}").alias("v")), done + m
+    return Ranking(start.select("node_id", F.col("v").alias("rank")), done, deltas, False)
+
+
 #: The named strategies. Where work happens (threads, locks, buffers) is Spark's business and has no
 #: meaning of its own here, so centralized and distributed differ in name only.
 PRESETS: dict[str, dict] = {
