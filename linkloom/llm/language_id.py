@@ -72,7 +72,7 @@ def counts_of(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def weights_of(at: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
     x = (1 + np.log(count)) * idf[at]
     norm = np.sqrt((x * x).sum())
-    return x / norm if norm else x
+    return (x / norm if norm else x).astype(np.float32)
 
 
 def softmax(scores: np.ndarray) -> np.ndarray:
@@ -180,7 +180,7 @@ def learn_languages(docs: DataFrame, learnable, sample_rows: int = SAMPLE_ROWS)
     got = sample.mapInArrow(sampled, "lang string, draw double, at array<int>, count array<int>").toArrow()
     order = np.argsort(got.column("draw").to_numpy(), kind="stable")
     langs, ats, counts = got.column("lang").to_pylist(), got.column("at"), got.column("count")
-    return fit([(langs[i], ats[i].values.to_numpy().astype(np.int64), counts[i].values.to_numpy()) for i in order.tolist()], idf)
+    return fit([(langs[i], ats[i].values.to_numpy(), counts[i].values.to_numpy()) for i in order.tolist()], idf)
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -149,10 +149,12 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, rate: fl
         words = Words([texts[i] for i in rows])
         starts, text = stretches(words.first)
         if len(starts):
-            prepared.append((labels[rows], words.word, *words.subwords(np.arange(len(words.hashes))), starts, text))
+            buckets, begin = words.subwords(np.arange(len(words.hashes)))
+            prepared.append((labels[rows], words.word.astype(np.int32), buckets.astype(np.uint16), begin.astype(np.int32), starts, text))
     for epoch in range(epochs):
         for k in rng.permutation(len(prepared)):
             label, word, buckets, begin, starts, text = prepared[k]
+            begin = begin.astype(np.int64)
             vectors = model.word_vectors(buckets, begin)
             size = np.diff(np.append(starts, len(word)))
             mean = np.add.reduceat(vectors[word], starts, axis=0) / size[:, None]
