@@ -40,6 +40,7 @@ GRAM = 32  # bytes of the strings that minimizers are taken from
 PORTION = 1 << 18  # bytes of text scanned at a time
 INDEX_BYTES = 1 << 19  # snippet text of one index
 SPREAD = 4_000  # occurrences of a minimizer that one index task takes
+BUCKET_PRINTS = 1 << 18  # window fingerprints that are compared at a time
 BYTE_MIX = mixed(np.arange(256) + 70_000)
 
 
@@ -117,37 +118,60 @@ def _scans(it: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[Scan, li
             yield Scan(cut_texts[a:b], length), [[c[i] for i, _ in pieces[a:b]] for c in rest], [x for _, x in pieces[a:b]]
 
 
-SNIPPETS = "minimizer long, part int, k1 long, k2 long, first long, windows int, digest long, bytes binary"
+SNIPPETS = "minimizer long, direct boolean, k1 long, k2 long, first long, windows int, digest long, bytes binary"
+
+
+class Copies:
+    """How often a task has met a snippet; forgets now and then, which only costs sending it again."""
+
+    def __init__(self, most: int = 200_000):
+        self.met: dict[tuple[int, int], int] = {}
+        self.most = most
+
+    def before(self, key: tuple[int, int]) -> int:
+        if len(self.met) > self.most:
+            self.met.clear()
+        n = self.met.get(key, 0)
+        self.met[key] = n + 1
+        return n
 
 
 def snippets(docs: DataFrame, length: int, spread: int) -> DataFrame:
-    """The snippets whose minimizer occurs twice or more. part: which of its index tasks a minimizer's occurrence goes to."""
+    """The snippets whose minimizer occurs twice or more. part: which of its index tasks a minimizer's occurrence goes to.
+
+    A task sends a snippet twice at most, with its text once: these meet in the index and show that it is
+    repeated. Further copies are known to be repeated and go, as part -1, wherever there is room.
+    """
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        copies = Copies()
         for scan, _, _ in _scans(it, length):
-            yield pa.record_batch([pa.array(scan.minimizer)], names=["minimizer"])
+            every = np.arange(len(scan.start))
+            keys = zip(scan.minimizer.tolist(), (scan.digests(every) if len(every) else every).tolist(), strict=True)
+            yield pa.record_batch([pa.array([k[0] for k in keys if copies.before(k) < 2], pa.int64())], names=["minimizer"])
 
     counts = docs.select("text").mapInArrow(count, "minimizer long").groupBy("minimizer").agg(F.count(F.lit(1)).alias("n"))
     often = cut(counts.filter("n > 1"))
     sent = key_bitmap(often, "minimizer")
-    schema = pa.schema([("minimizer", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int64()), ("windows", pa.int32()), ("digest", pa.int64()), ("bytes", pa.binary())])
+    schema = pa.schema([("minimizer", pa.int64()), ("direct", pa.bool_()), ("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int64()), ("windows", pa.int32()), ("digest", pa.int64()), ("bytes", pa.binary())])
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        bitmap, shown = sent.value, set()
+        bitmap, copies = sent.value, Copies()
         for scan, (k1, k2), base in _scans(it, length):
             pick = np.flatnonzero(in_bitmap(bitmap, scan.minimizer))
             columns = (pick, scan.minimizer[pick], scan.text[pick], scan.first[pick], scan.windows[pick], scan.digests(pick) if len(pick) else pick)
             for i, h, t, first, windows, digest in zip(*(c.tolist() for c in columns), strict=True):
-                yield h, k1[t], k2[t], base[t] + first, windows, digest, None if (h, digest) in shown else scan.snippet(i)
-                shown.add((h, digest))
+                n = copies.before((h, digest))
+                yield k1[t] if n > 1 else h, n > 1, k1[t], k2[t], base[t] + first, windows, digest, None if n else scan.snippet(i)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches(rows(it), schema, 4096, 4 << 20)
 
-    found = row_keys(docs.select("doc_id", "source", "text")).select("text", "_k1", "_k2").mapInArrow(run, SNIPPETS.replace("part int, ", ""))
+    found = row_keys(docs.select("doc_id", "source", "text")).select("text", "_k1", "_k2").mapInArrow(run, SNIPPETS)
     heavy = often.filter(F.col("n") > spread).select("minimizer", F.ceil(F.col("n") / spread).cast("int").alias("parts"))
-    parts = found.join(heavy, "minimizer", "left").withColumn("part", F.coalesce(F.pmod(F.col("digest"), F.col("parts")), F.lit(0)).cast("int"))
-    return parts.select("minimizer", "part", "k1", "k2", "first", "windows", "digest", "bytes", F.col("parts").isNotNull().alias("heavy"))
+    parts = found.join(heavy, "minimizer", "left")
+    part = F.when(F.col("direct"), F.lit(-1)).otherwise(F.coalesce(F.pmod(F.col("digest"), F.col("parts")), F.lit(0)))
+    return parts.select("minimizer", part.cast("int").alias("part"), "k1", "k2", "first", "windows", "digest", "bytes", (F.col("parts").isNotNull() & ~F.col("direct")).alias("heavy"))
 
 
 def _indexed(group: list[tuple], length: int) -> Iterator[tuple[tuple, np.ndarray, bytes]]:
@@ -198,7 +222,15 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD
             yield group
 
     def marks(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for group in groups(it):
+        for together in groups(it):
+            group = []
+            for row in together:
+                if row[1] < 0:
+                    yield row[2], row[3], row[4], row[4] + row[5] - 1, None
+                else:
+                    group.append(row)
+            if not group:
+                continue
             shown: set[int] = set()  # fingerprints of marked windows, sent once
             prints: dict[int, np.ndarray] = {}
             for row, marked, text in _indexed(group, length):
@@ -225,13 +257,49 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD
 def _across(prints: DataFrame) -> DataFrame:
     """Windows of heavy minimizers that are unique in their index task but have an equal one in another."""
 
-    def numbers(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            got = [np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()]
-            if got:
-                yield pa.record_batch([pa.array(np.concatenate(got))], names=["print"])
+    total = prints.agg(F.coalesce(F.sum(F.octet_length("prints")), F.lit(0))).first()[0] // 8
+    buckets = total // BUCKET_PRINTS + 1
+
+    def dealt(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's fingerprints, those of a bucket in one row."""
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                every = np.concatenate(held)
+                bucket = np.mod(every, buckets)
+                by = np.argsort(bucket, kind="stable")
+                edge = np.flatnonzero(np.diff(bucket[by], prepend=-1))
+                own = [x.tobytes() for x in np.split(every[by], edge[1:])]
+                yield pa.record_batch([pa.array(bucket[by][edge]), pa.array(own, pa.binary())], names=["bucket", "prints"])
 
-    twice = cut(prints.select("prints").mapInArrow(numbers, "print long").groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print"))
+        for batch in it:
+            for x in batch.column(0).to_pylist():
+                held.append(np.frombuffer(x, np.int64))
+                size += len(held[-1])
+                if size > 8 * BUCKET_PRINTS:
+                    yield from flush()
+                    held, size = [], 0
+        yield from flush()
+
+    def repeated(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def twice_in(held: list[np.ndarray]) -> pa.RecordBatch:
+            every = np.sort(np.concatenate(held))
+            return pa.record_batch([pa.array(np.unique(every[1:][every[1:] == every[:-1]]))], names=["print"])
+
+        at, held = None, []
+        for batch in it:
+            for bucket, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != at and held:
+                    yield twice_in(held)
+                    held = []
+                at = bucket
+                held.append(np.frombuffer(x, np.int64))
+        if held:
+            yield twice_in(held)
+
+    by_bucket = prints.select("prints").mapInArrow(dealt, "bucket long, prints binary").repartition("bucket").sortWithinPartitions("bucket")
+    twice = cut(by_bucket.mapInArrow(repeated, "print long"))
     sent = key_bitmap(twice, "print")
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int64()), ("print", pa.int64())])
 
