@@ -33,7 +33,7 @@ from linkloom.llm.shingles import COORDINATES, band_keys, coordinate_bytes, fing
 MIN_PERCENT = 85
 MIN_AGREEMENT = 0.68  # of coordinates: five standard deviations below 0.85
 BLOCK = 512  # members of a bucket that are compared in one go
-BEST = (8, 64, 512, 1 << 30)  # candidates of a member in a block that are verified in each round
+BEST = (16, 1 << 30)  # candidates of a member in a block that are verified in each round
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -65,29 +65,30 @@ def sketched(docs: DataFrame) -> DataFrame:
     return row_keys(docs.select("doc_id", "source", "text")).select("text", "doc_id", "_k1", "_k2").mapInArrow(run, ddl)
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, shingles (sorted 64-bit hashes as bytes) for the nodes of a table, from another scan of the texts."""
-    sent = key_bitmap(nodes, "node")
+def sets_of(docs: DataFrame, base: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, shingles (sorted 64-bit hashes as bytes) for the nodes of a table. One document of each node is
+    read again; a bitmap of their row keys tells the scan which texts to hash."""
+    chosen = cut(base.select("node", "_k1").join(nodes, "node").groupBy("node").agg(F.min("_k1").alias("_k1")))
+    sent = key_bitmap(chosen, "_k1")
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         bitmap = sent.value
         for batch in it:
-            for _, sets in _texts(batch):
-                own = [(fingerprint(s)[0], s) for s in sets if len(s)]
-                wanted = in_bitmap(bitmap, np.array([k for k, _ in own], np.int64))
-                for (k, s), w in zip(own, wanted.tolist(), strict=True):
-                    if w:
-                        yield k, s.tobytes()
+            wanted = batch.filter(pa.array(in_bitmap(bitmap, batch.column("_k1").to_numpy())))
+            for _, sets in _texts(wanted):
+                for s in sets:
+                    if len(s):
+                        yield fingerprint(s)[0], s.tobytes()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches(rows(it), schema)
+        yield from batches(rows(it), schema, 2048, 4 << 20)
 
-    found = docs.select("text").mapInArrow(run, "node long, shingles binary")
-    return found.dropDuplicates(["node"]).join(nodes.select("node"), "node", "left_semi")
+    found = row_keys(docs.select("doc_id", "source", "text")).select("text", "_k1").mapInArrow(run, "node long, shingles binary")
+    return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, min_percent: int) -> DataFrame:
+def confirmed(docs: DataFrame, base: DataFrame, pairs: DataFrame, sketches: DataFrame, min_percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough; the sketches first drop those far from it."""
     side = lambda c: sketches.select(F.col("node").alias(c), F.col("bytes").alias(f"{c}_bytes"), F.col("n_shingles").alias(f"{c}_n"))
     sized = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * min_percent
@@ -110,7 +111,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, min_percen
                 good.append(100 * both >= min_percent * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    sets = cut(sets_of(docs, close.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    sets = cut(sets_of(docs, base, close.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
     whole = close.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("a_set")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("b_set")), "b")
     return cut(whole.mapInArrow(check, "a long, b long"))
 
@@ -174,15 +175,15 @@ def near_duplicates(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFram
     pairs = members.select("key", "node").join(leaders, "key").filter("node <> leader")
     pairs = cut(pairs.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct())
     members = members.select("key", "node")
-    tried, links = pairs, confirmed(docs, pairs, sketches, min_percent)
-    labels = cut(components(links))
+    tried = pairs
+    labels = cut(components(confirmed(docs, base, pairs, sketches, min_percent)))
     for best in BEST:
         pairs = cut(unresolved(members, labels, sketches, tried, best))
         if pairs.isEmpty():
             break
-        more = confirmed(docs, pairs, sketches, min_percent)
-        tried, links = tried.unionAll(pairs), links.unionAll(more)
-        labels = cut(components(links))
+        more = confirmed(docs, base, pairs, sketches, min_percent)
+        tried = tried.unionAll(pairs)
+        labels = cut(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(more)))
     rows = base.select("doc_id", "n_shingles", "_k1", "_k2", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = rows.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = rows.join(least, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
