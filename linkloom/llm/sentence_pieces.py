@@ -18,24 +18,26 @@ stay repeated; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from linkloom.llm.byte_bpe import SpanHasher
-from linkloom.llm.common import batches, table
+from linkloom.llm.common import table
 from linkloom.llm.packing import _portions
 from linkloom.llm.runindex import sorted_suffixes
 
 META = "▁"
 NORMAL, BYTE = 1, 6
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 400_000
+PORTION = 3 << 20  # bytes of text whose new chunks share one index
 NONE, UNKNOWN = -2, -1
 
 
@@ -211,11 +213,16 @@ class PieceModel:
 
     def encode(self, texts: list[bytes]) -> list[list[int]]:
         """Ids of each text."""
+        ids, counts = self.encode_flat(texts)
+        return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
+
+    def encode_flat(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts laid end to end, and how many each text has."""
         meta = META.encode()
         normal = [(meta if self.prefix else b"") + t.replace(b" ", meta) if t else b"" for t in texts]
         data = b"".join(normal)
         if not data:
-            return [[] for _ in texts]
+            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
         raw = np.frombuffer(data, np.uint8)
         codes = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
         place = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
@@ -241,14 +248,13 @@ class PieceModel:
         for k, ids, b in zip(new, self.encode_chunks(words), blanks, strict=True):
             self.known[hashes[k]] = self._with_blanks(ids, b)
         found = [self.known[h] for h in hashes]
-        per_text = np.searchsorted(starts, edges)
-        out = []
-        for a, b in zip(per_text[:-1].tolist(), per_text[1:].tolist(), strict=True):
-            ids: list[int] = []
-            for c in chunk[a:b].tolist():
-                ids += found[c]
-            out.append(ids)
-        return out
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))
+        begin = np.cumsum(lengths) - lengths
+        sizes = lengths[chunk]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        ids = flat[np.arange(upto[-1]) + np.repeat(begin[chunk] - upto[:-1], sizes)]
+        return ids, np.diff(upto[np.searchsorted(starts, edges)])
 
     def _with_blanks(self, ids: list[int], blanks: int) -> list[int]:
         """Put back the meta symbols before the last one; a last one that stayed alone belongs to the run."""
@@ -291,9 +297,11 @@ def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
         for batch in it:
             doc_ids = batch.column(0).to_pylist()
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for a, b in _portions([t or b"" for t in texts]):
-                ids = pieces.encode([t or b"" for t in texts[a:b]])
-                yield pa.record_batch([pa.array(doc_ids[a:b], pa.int64()), pa.array([None if t is None else i for t, i in zip(texts[a:b], ids, strict=True)], pa.list_(pa.int32()))], schema=schema)
+            for a, b in _portions([t or b"" for t in texts], PORTION):
+                ids, counts = pieces.encode_flat([t or b"" for t in texts[a:b]])
+                edges = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                gone = pa.array([t is None for t in texts[a:b]])
+                yield pa.record_batch([pa.array(doc_ids[a:b], pa.int64()), pa.ListArray.from_arrays(pa.array(edges), pa.array(ids), mask=gone)], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -311,26 +319,22 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
-DIGESTS = "doc_id long, n_ids long, ids_crc32 long, text_sha256 string, n_chars long"
-
-
 def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again: number and CRC of the ids, digest and length of the text they decode to."""
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("text_sha256", pa.string()), ("n_chars", pa.int64())])
-
-    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in it:
-            for doc_id, ids, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, text = ids or [], text or ""
-                yield doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256(text.encode()).hexdigest(), len(text)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches(rows(it), schema)
-
-    return decode_pieces(encode_pieces(table(spark, sf_dir, "documents"), model), model).mapInArrow(run, DIGESTS)
+        for batch in it:
+            ids = batch.column(1)
+            flat, edges = ids.flatten().to_numpy().astype("<u4"), np.concatenate([[0], np.cumsum(np.nan_to_num(ids.value_lengths().to_numpy(zero_copy_only=False)))]).astype(np.int64)
+            sums = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            yield pa.record_batch([batch.column(0), pa.array(np.diff(edges)), pa.array(sums, pa.int64()), batch.column(2)], names=["doc_id", "n_ids", "ids_crc32", "text"])
+
+    read = decode_pieces(encode_pieces(table(spark, sf_dir, "documents"), model), model).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, text string")
+    text = F.coalesce("text", F.lit(""))
+    return read.select("doc_id", "n_ids", "ids_crc32", F.sha2(text, 256).alias("text_sha256"), F.length(text).cast("long").alias("n_chars"))
 
 
 QUERIES = {"op1_sentence_pieces": op1_sentence_pieces}

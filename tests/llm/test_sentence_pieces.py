@@ -1,4 +1,6 @@
+import hashlib
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -58,4 +60,10 @@ def test_tables(spark, library, tmp_path):
     assert back[900] is None and all(back[d] == t.replace("▁", " ") for d, t in rows if t is not None)
     assert encode_pieces(df.limit(0), PATH).count() == 0
     df.write.parquet(f"{tmp_path}/documents.parquet")
-    assert op1_sentence_pieces(spark, str(tmp_path)).count() == len(rows)
+    got = op1_sentence_pieces(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    for d, t in rows[:40]:
+        ids, text = library.encode(t), t.replace("▁", " ")
+        r = next(r for r in got if r["doc_id"] == d)
+        assert (r["n_ids"], r["ids_crc32"], r["n_chars"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), len(text))
+        assert r["text_sha256"] == hashlib.sha256(text.encode()).hexdigest()
