@@ -35,6 +35,7 @@ MAX_REPEAT_PERCENT = 50
 MIN_DOCS = 50  # a line in at most so many distinct documents of a host is never boilerplate
 MAX_SHARE_PERCENT = 2  # of the host's distinct documents
 MAX_REMOVED_PERCENT = 70  # of a document's words
+SALTS = 64
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
 
@@ -119,7 +120,9 @@ def quality_report(docs: DataFrame, min_docs: int = MIN_DOCS, max_share_percent:
     spread = held.select("_host", "line", "_fp").distinct().groupBy("_host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
     sizes = base.select("_host", "_fp").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("host_docs"))
     boilerplate = spread.filter(F.col("n_docs") > min_docs).join(sizes, "_host").filter(F.col("n_docs") * 100 > F.col("host_docs") * max_share_percent).select("line")
-    removed = held.join(boilerplate, "line", "left_semi").select("_k1", "_k2", "line", "words").distinct().groupBy("_k1", "_k2").agg(F.sum("words").alias("n_removed_words"))
+    salted = boilerplate.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a frequent line's holders go to many tasks
+    hit = held.withColumn("salt", F.pmod("_k1", F.lit(SALTS)).cast("int")).join(salted, ["line", "salt"], "left_semi")
+    removed = hit.select("_k1", "_k2", "line", "words").distinct().groupBy("_k1", "_k2").agg(F.sum("words").alias("n_removed_words"))
     out = base.drop("_lines", "_words", "_fp", "_host").join(removed, ["_k1", "_k2"], "left").fillna(0, ["n_removed_words"])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     depleted = 100 * F.col("n_removed_words") > max_removed_percent * F.col("n_words")
