@@ -2,8 +2,9 @@
 
 A document is the set of its distinct 5-word shingles, 64-bit hashes of lower-case words. Documents with
 equal sets become one node at once. Each node has a fast similarity sketch of 120 coordinates; nodes
-that agree in a band of five coordinates share a bucket (a pair at similarity 0.85 misses all 24 bands
-with a probability below 1e-6). Links are confirmed on the full sets.
+that agree in a band of neighbouring coordinates share a bucket. Bands are as long as the threshold allows:
+five coordinates at 85 percent, four at 80 (a pair at the threshold misses all bands with a probability
+below 1e-6). Links are confirmed on the full sets.
 
 No bucket is expanded into pairs. First every member is compared with its bucket's leader, the member
 that shares buckets with most others, which joins a group of copies in one round. Buckets that still
@@ -18,6 +19,7 @@ kept compares null-safely; other columns are ignored; an empty table gives no ro
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +33,24 @@ from linkloom.llm.packing import _portions
 from linkloom.llm.shingles import COORDINATES, band_keys, coordinate_bytes, fingerprint, shingle_sets, sketch
 
 MIN_PERCENT = 85
-MIN_AGREEMENT = 0.68  # of coordinates: five standard deviations below 0.85
+STAGE_PERCENT = 80  # of the pipeline's stage
+MISSED = 1e-6  # probability that a pair at the threshold shares no band
 BLOCK = 512  # members of a bucket that are compared in one go
 BEST = (16, 1 << 30)  # candidates of a member in a block that are verified in each round
 
 
+def band_count(min_percent: int) -> int:
+    """The fewest bands, of equal length, all of which a pair at the threshold misses with a probability below MISSED."""
+    whole = [n for n in range(1, COORDINATES + 1) if COORDINATES % n == 0]
+    return next((n for n in whole if (1 - (min_percent / 100) ** (COORDINATES // n)) ** n < MISSED), COORDINATES)
+
+
+def min_agreement(min_percent: int) -> float:
+    """The share of equal coordinates, in hundredths, that lies five standard deviations below the threshold."""
+    p = min_percent / 100
+    return max(0, math.floor(100 * (p - 5 * math.sqrt(p * (1 - p) / COORDINATES)))) / 100
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Rows' other columns and shingle sets, portion by portion; text is the first column."""
     texts = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
@@ -44,7 +59,7 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[list, list[np.ndarray]]]:
         yield [c[a:b] for c in rest], shingle_sets(texts[a:b])
 
 
-def sketched(docs: DataFrame) -> DataFrame:
+def sketched(docs: DataFrame, bands: int) -> DataFrame:
     """doc_id, n_shingles, node and node2 (the set's fingerprint), keys (a band's key each), bytes (of the coordinates)."""
     schema = pa.schema([("doc_id", pa.int64()), ("_k1", pa.int64()), ("_k2", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("node2", pa.int64()), ("keys", pa.list_(pa.int64())), ("bytes", pa.binary())])
 
@@ -56,7 +71,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                         yield doc_id, k1, k2, 0, None, None, [], b""
                         continue
                     coordinates = sketch(s)
-                    yield doc_id, k1, k2, len(s), *fingerprint(s), band_keys(coordinates), coordinate_bytes(coordinates)
+                    yield doc_id, k1, k2, len(s), *fingerprint(s), band_keys(coordinates, bands), coordinate_bytes(coordinates)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches(rows(it), schema)
@@ -91,6 +106,7 @@ def sets_of(docs: DataFrame, base: DataFrame, nodes: DataFrame) -> DataFrame:
 def confirmed(docs: DataFrame, base: DataFrame, pairs: DataFrame, sketches: DataFrame, min_percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough; the sketches first drop those far from it."""
     side = lambda c: sketches.select(F.col("node").alias(c), F.col("bytes").alias(f"{c}_bytes"), F.col("n_shingles").alias(f"{c}_n"))
+    least = min_agreement(min_percent)
     sized = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * min_percent
 
     def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +114,7 @@ def confirmed(docs: DataFrame, base: DataFrame, pairs: DataFrame, sketches: Data
             if not batch.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("a_bytes", "b_bytes"))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= MIN_AGREEMENT))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least))
 
     close = cut(pairs.join(side("a"), "a").join(side("b"), "b").filter(sized).mapInArrow(near, "a long, b long"))
 
@@ -116,7 +132,7 @@ def confirmed(docs: DataFrame, base: DataFrame, pairs: DataFrame, sketches: Data
     return cut(whole.mapInArrow(check, "a long, b long"))
 
 
-def unresolved(members: DataFrame, labels: DataFrame, sketches: DataFrame, tried: DataFrame, best: int) -> DataFrame:
+def unresolved(members: DataFrame, labels: DataFrame, sketches: DataFrame, tried: DataFrame, best: int, least: float) -> DataFrame:
     """Pairs (a, b) of different components in one bucket, near by their sketches and not tried: for each
     member of a block its best candidates there."""
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -137,7 +153,7 @@ def unresolved(members: DataFrame, labels: DataFrame, sketches: DataFrame, tried
             if not len(q):
                 continue
             agreement = (data[q] == data[p]).mean(axis=1)
-            near = np.flatnonzero(agreement >= MIN_AGREEMENT)
+            near = np.flatnonzero(agreement >= least)
             for x in near[np.argsort(-agreement[near], kind="stable")][:best].tolist():
                 yield node[p], node[q[x]]
 
@@ -162,9 +178,9 @@ def unresolved(members: DataFrame, labels: DataFrame, sketches: DataFrame, tried
     return near.join(tried, ["a", "b"], "left_anti")
 
 
-def near_duplicates(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
-    """One row per document row: doc_id, n_shingles, component_id, kept, and the row's _k1 and _k2."""
-    base = cut(sketched(docs))
+def linked(docs: DataFrame, min_percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sketched rows, and node, label of the nodes that are linked with others: rows with equal labels are one group."""
+    base = cut(sketched(docs, band_count(min_percent)))
     nodes = cut(base.filter("n_shingles > 0").select("node", "n_shingles", "keys", "bytes").dropDuplicates(["node"]))
     sketches = nodes.select("node", "n_shingles", "bytes")
     keys = nodes.select("node", F.explode("keys").alias("key"))
@@ -178,21 +194,27 @@ def near_duplicates(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFram
     tried = pairs
     labels = cut(components(confirmed(docs, base, pairs, sketches, min_percent)))
     for best in BEST:
-        pairs = cut(unresolved(members, labels, sketches, tried, best))
+        pairs = cut(unresolved(members, labels, sketches, tried, best, min_agreement(min_percent)))
         if pairs.isEmpty():
             break
         more = confirmed(docs, base, pairs, sketches, min_percent)
         tried = tried.unionAll(pairs)
         labels = cut(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(more)))
+    return base, labels
+
+
+def near_duplicates(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
+    """One row per document row: doc_id, n_shingles, component_id, kept, and the row's _k1 and _k2."""
+    base, labels = linked(docs, min_percent)
     rows = base.select("doc_id", "n_shingles", "_k1", "_k2", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = rows.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = rows.join(least, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "_k1", "_k2")
 
 
-def keep_one_each(docs: DataFrame) -> DataFrame:
+def keep_one_each(docs: DataFrame, min_percent: int = STAGE_PERCENT) -> DataFrame:
     """docs with one document of each group of near-duplicates."""
-    return drop_rows(docs, cut(near_duplicates(docs).filter(~F.col("kept")).select("_k1", "_k2")))
+    return drop_rows(docs, cut(near_duplicates(docs, min_percent).filter(~F.col("kept")).select("_k1", "_k2")))
 
 
 def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
