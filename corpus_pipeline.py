@@ -1,8 +1,9 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Each stage takes what its predecessor kept, and each but the last returns the columns of documents:
-documents that fail the quality rules go; of each group of near-duplicates one stays; byte strings that
-the rest holds more than once are cut out; secrets are replaced; what is left is tokenized and packed.
+documents that fail the quality rules go, and boilerplate lines go from the others; of each group of
+near-duplicates one stays; byte strings that the rest holds more than once are cut out; secrets are
+replaced; what is left is tokenized and packed.
 """
 
 from __future__ import annotations

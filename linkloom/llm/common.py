@@ -105,3 +105,16 @@ def drop_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
     clear = keyed.mapInArrow(side(False), keyed.schema)
     maybe = keyed.mapInArrow(side(True), keyed.schema).join(keys.select("_k1", "_k2").distinct(), ["_k1", "_k2"], "left_anti")
     return clear.unionByName(maybe).select(*schema.names)
+
+
+def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of docs whose (_k1, _k2) are in keys, once each there, with keys' columns."""
+    sent = key_bitmap(keys, "_k1")
+    keyed = row_keys(docs)
+
+    def run(it):
+        bitmap = sent.value
+        for batch in it:
+            yield batch.filter(pa.array(in_bitmap(bitmap, batch.column("_k1").to_numpy())))
+
+    return keyed.mapInArrow(run, keyed.schema).join(keys, ["_k1", "_k2"])

@@ -3,15 +3,17 @@
 Every document gets word, symbol and repetition counts from its whole text. Its lines are normalised
 (ASCII lower case, white space runs as one space) and hashed together with the host, which is the
 document's source. A line that more than ``min_docs`` distinct documents of a host hold, and more than
-``max_share`` of the host's documents, is boilerplate there and removed; a document that loses more
-than ``max_removed`` of its words that way is depleted and rejected.
+``max_share`` of the host's documents, is boilerplate there; a document that would lose more than
+``max_removed`` of its words with such lines is depleted and rejected. The report counts, and
+``keep_good`` also cuts the lines out of the documents that stay.
 
 Distinct documents are distinct texts: exact copies count once, so a clean text is not rejected for
 having copies; telling copies apart is the near-duplicate operator's task.
 
 Plan: one scan counts line hashes with map-side combining and keeps those at or above the smallest
 limit, a superset of the frequent ones; a bitmap of fixed size tells a second scan which lines to
-emit, and only these are counted exactly by distinct text and joined back.
+emit, and only these are counted exactly by distinct text and joined back. Texts are shuffled only of
+documents that are rejected or hold boilerplate.
 
 Defined cases: a null text has no words and is rejected; a null host is a host of its own; repeated
 rows get equal verdicts; other columns are ignored; an empty table gives no rows.
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import batches, cut, drop_rows, in_bitmap, key_bitmap, row_keys, table
+from linkloom.llm.common import batches, cut, drop_rows, in_bitmap, keep_rows, key_bitmap, row_keys, table
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -92,7 +94,7 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def quality_report(docs: DataFrame, min_docs: int = MIN_DOCS, max_share_percent: float = MAX_SHARE_PERCENT, max_removed_percent: float = MAX_REMOVED_PERCENT) -> DataFrame:
-    """One row per document row: doc_id, the five counts, base_failed, n_removed_words, kept, and the row's _k1 and _k2."""
+    """One row per document row: doc_id, the five counts, base_failed, n_removed_words, kept, the row's _k1 and _k2, and removed_lines (hashes)."""
     keyed = row_keys(docs.select("doc_id", "text", "source"))
     lines = docs.select("text", "source").mapInArrow(_count_scan, "line long")
     often = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_docs).select("line")
@@ -122,16 +124,39 @@ def quality_report(docs: DataFrame, min_docs: int = MIN_DOCS, max_share_percent:
     boilerplate = spread.filter(F.col("n_docs") > min_docs).join(sizes, "_host").filter(F.col("n_docs") * 100 > F.col("host_docs") * max_share_percent).select("line")
     salted = boilerplate.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a frequent line's holders go to many tasks
     hit = held.withColumn("salt", F.pmod("_k1", F.lit(SALTS)).cast("int")).join(salted, ["line", "salt"], "left_semi")
-    removed = hit.select("_k1", "_k2", "line", "words").distinct().groupBy("_k1", "_k2").agg(F.sum("words").alias("n_removed_words"))
+    removed = hit.select("_k1", "_k2", "line", "words").distinct().groupBy("_k1", "_k2").agg(F.sum("words").alias("n_removed_words"), F.collect_set("line").alias("removed_lines"))
     out = base.drop("_lines", "_words", "_fp", "_host").join(removed, ["_k1", "_k2"], "left").fillna(0, ["n_removed_words"])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     depleted = 100 * F.col("n_removed_words") > max_removed_percent * F.col("n_words")
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
 
 
+def cut_lines(text: bytes, host: bytes | None, removed: set[int]) -> bytes:
+    """The text without its lines whose normalised hash (see line_words) is in removed."""
+    return b"\n".join(x for x in text.split(b"\n") if line_words(x, host).keys().isdisjoint(removed))
+
+
 def keep_good(docs: DataFrame) -> DataFrame:
-    """docs without the rows that quality_report rejects."""
-    return drop_rows(docs, cut(quality_report(docs).filter(~F.col("kept")).select("_k1", "_k2")))
+    """docs without the rows that quality_report rejects and without boilerplate lines in the others, whose n_chars, where there is one, is counted anew."""
+    report = quality_report(docs)
+    verdicts = cut(report.filter(~F.col("kept") | (F.col("n_removed_words") > 0)).select("_k1", "_k2", "kept", "removed_lines").dropDuplicates(["_k1", "_k2"]))
+    good = drop_rows(docs, verdicts.select("_k1", "_k2"))
+    schema = docs.schema
+    names = schema.names
+    place = names.index("text")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            texts, hosts = (batch.column(n).cast(pa.binary()).to_pylist() for n in ("text", "source"))
+            clean = [cut_lines(t, h, set(gone)) for t, h, gone in zip(texts, hosts, batch.column("removed_lines").to_pylist(), strict=True)]
+            columns = [batch.column(n) for n in names]
+            columns[place] = pa.array(clean, pa.binary()).cast(columns[place].type)
+            yield pa.record_batch(columns, names=names)
+
+    held = keep_rows(docs, verdicts.filter("kept").select("_k1", "_k2", "removed_lines")).mapInArrow(run, schema)
+    if "n_chars" in names:
+        held = held.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
+    return good.unionByName(held)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
