@@ -35,6 +35,7 @@ from linkloom.llm.common import batches, cut, drop_rows, in_bitmap, keep_rows, k
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_DOCS = 50  # a line in at most so many distinct documents of a host is never boilerplate
+STAGE_MIN_DOCS = 2  # the same in the pipeline's stage: a floor against chance, so that the share decides on small hosts too
 MAX_SHARE_PERCENT = 2  # of the host's distinct documents
 MAX_REMOVED_PERCENT = 70  # of a document's words
 SALTS = 64
@@ -136,9 +137,9 @@ def cut_lines(text: bytes, host: bytes | None, removed: set[int]) -> bytes:
     return b"\n".join(x for x in text.split(b"\n") if line_words(x, host).keys().isdisjoint(removed))
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, min_docs: int = STAGE_MIN_DOCS) -> DataFrame:
     """docs without the rows that quality_report rejects and without boilerplate lines in the others, whose n_chars, where there is one, is counted anew."""
-    report = quality_report(docs)
+    report = quality_report(docs, min_docs)
     verdicts = cut(report.filter(~F.col("kept") | (F.col("n_removed_words") > 0)).select("_k1", "_k2", "kept", "removed_lines").dropDuplicates(["_k1", "_k2"]))
     good = drop_rows(docs, verdicts.select("_k1", "_k2"))
     schema = docs.schema

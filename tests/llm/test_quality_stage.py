@@ -32,3 +32,11 @@ def test_boilerplate_lines_go_from_kept_documents(spark):
             first, _, last = text.split("\n")
             text, n = f"{first}\n{last}", len(first) + 1 + len(last)
         assert got[doc_id] == (text, n)
+
+
+def test_equal_shares_are_treated_alike_on_small_and_large_hosts(spark):
+    rng = random.Random(3)
+    line = "all rights are reserved"
+    rows = host_rows(rng, "small", 30, 10, line, 0) + host_rows(rng, "large", 600, 10, line, 1000) + host_rows(rng, "rare", 300, 1, line, 5000) + host_rows(rng, "tiny", 2, 100, line, 9000)
+    left = {r["source"] for r in keep_good(spark.createDataFrame(rows, SCHEMA)).collect() if line.split()[0] in r["text"].lower()}
+    assert left == {"rare", "tiny"}
