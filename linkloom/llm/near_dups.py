@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import batches, cut, drop_rows, in_bitmap, key_bitmap, row_keys, table
+from linkloom.llm.common import batches, cut, drop_rows, in_bitmap, keep_rows, key_bitmap, row_keys, table
 from linkloom.llm.components import components
 from linkloom.llm.packing import _portions
 from linkloom.llm.shingles import COORDINATES, band_keys, coordinate_bytes, fingerprint, shingle_sets, sketch
@@ -213,8 +213,20 @@ def near_duplicates(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFram
 
 
 def keep_one_each(docs: DataFrame, min_percent: int = STAGE_PERCENT) -> DataFrame:
-    """docs with one document of each group of near-duplicates."""
-    return drop_rows(docs, cut(near_duplicates(docs, min_percent).filter(~F.col("kept")).select("_k1", "_k2")))
+    """docs with exactly one row of each group of near-duplicates: of the smallest doc_id that is not null, then of the
+    smallest row key, then any of equal rows. Texts without words are in no group and stay."""
+    base, labels = linked(docs, min_percent)
+    linkable = base.filter("n_shingles > 0")
+    first = linkable.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_k1", "_k2")).alias("row"))
+    heads = first.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("row").alias("row"))
+    heads = heads.select("row._k1", "row._k2", F.lit(True).alias("head"))
+    rows = linkable.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("n")).join(heads, ["_k1", "_k2"], "left")
+    gone = cut(rows.filter("head IS NULL OR n > 1").select("_k1", "_k2", "head"))
+    out = drop_rows(docs, gone.select("_k1", "_k2"))
+    again = gone.filter("head").select("_k1", "_k2")  # rows that stay once
+    if again.isEmpty():
+        return out
+    return out.unionByName(keep_rows(docs, again).dropDuplicates(["_k1", "_k2"]).select(*docs.columns))
 
 
 def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
