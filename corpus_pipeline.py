@@ -42,7 +42,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return pack_documents(docs, with_ids=False).drop("ids")
+    return pack_documents(docs)
 
 
 STAGES = [

@@ -179,7 +179,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+    return pack_documents(table(spark, sf_dir, "documents")).drop("ids")  # ids are carried to their place; the digest stands for them
 
 
 QUERIES = {"op5_packing": op5_packing}
