@@ -4,6 +4,7 @@ The rules' regexes are compiled by subset construction and minimisation into one
 and each text is read once, byte by byte, for all rules together. Only where a rule ends are its
 match's start and longest end looked up, with small automata of that rule. Matches of a rule are
 leftmost, longest and do not overlap; those that fail the rule's least length are dropped after that.
+The rule for private keys ends with the BEGIN line; its span is then carried on over the key.
 
 Defined cases: a null or empty text has no spans; spans are code points, end exclusive; repeated rows
 stay repeated; other columns are ignored; an empty table gives no rows.
@@ -11,6 +12,7 @@ stay repeated; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -37,7 +39,7 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 20),
     Rule("hex", r"[0-9a-f]{8,}", 24),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0),
-    Rule("jwt", r"eyJ[A-Za-z0-9_.-]+", 40),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 24),
     Rule("google", r"AIza[A-Za-z0-9_-]+", 39),
@@ -45,6 +47,9 @@ RULES = (
     Rule("url_password", r"://[A-Za-z0-9._~%!$&*+=:-]+@", 0),
 )
 BASE = 3
+KEY_END = re.compile(rb"-----END [A-Z ]*PRIVATE KEY-----")
+#: Header lines, lines of base64, and a short last one that is padded or ends the text; line ends may be escaped.
+KEY_BODY = re.compile(rb"(?:\s*+[A-Za-z-]++: [^\n]*+\n)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{24,}+={0,2}+)++(?:(?:\s|\\[nr])++[A-Za-z0-9+/]++(?:={1,2}|(?=\s*+\Z)))?")
 
 
 @lru_cache(maxsize=1)
@@ -63,15 +68,21 @@ def passes(rule: Rule, match: bytes) -> bool:
     """Whether a match of the rule's regex is reported."""
     if rule.kind == "assign":
         return len(value_of(match)) >= rule.least
-    if rule.kind == "jwt":
-        parts = match.split(b".")
-        return len(match) >= rule.least and len(parts) == 3 and all(parts)
     if rule.kind == "url_password":
         user, colon, password = match[3:-1].partition(b":")
         return bool(user and password)
     return len(match) >= rule.least
 
 
+def key_end(data: bytes, end: int) -> int:
+    """Where the private key ends whose BEGIN line ends at end: behind its END line, or without one behind its base64 lines."""
+    closing = data.find(b"-----", end)
+    if closing >= 0 and (found := KEY_END.match(data, closing)):
+        return found.end()
+    found = KEY_BODY.match(data, end)
+    return found.end() if found else end
+
+
 def find_spans(scan: Scanner, data: bytes) -> list[tuple[int, int, int]]:
     """(start, end, rule) in bytes of the secrets in a UTF-8 text, by start, then by the rules' order."""
     out = []
@@ -79,6 +90,7 @@ def find_spans(scan: Scanner, data: bytes) -> list[tuple[int, int, int]]:
         rule = RULES[k]
         for start, end in matches:
             if passes(rule, data[start:end]):
+                end = key_end(data, end) if rule.kind == "private_key" else end
                 out.append((start, end, k))
     out.sort(key=lambda s: (s[0], s[2]))
     return out
