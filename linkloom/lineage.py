@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import suppress
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of spark.checkpoint.dir; choose a local one only where the cluster names none."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir. Where the session names none a temporary folder is used, on a local master only."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linkloom-ckpt-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="linkloom-ckpt-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -22,6 +27,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder wherever it is stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(*spent: DataFrame) -> None:
+    """Delete the files of frames that cut() returned and nothing reads any more."""
+    for df in spent:
+        with suppress(Py4JError, AttributeError):  # what is not a checkpoint has no such file
+            file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+            if file.isDefined():
+                remove_folder(df.sparkSession, file.get())
+
+
 def _sorted_parts(df: DataFrame, order: list[str]) -> DataFrame:
     return cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
 
