@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.lineage import cut, ensure_checkpoint_dir
+from linkloom.lineage import cut, ensure_checkpoint_dir, release
 
-__all__ = ["cut", "ensure_checkpoint_dir"]
+__all__ = ["cut", "ensure_checkpoint_dir", "release"]
 HELD_OUT_BUCKET = 2  # crc32(doc_id as text) mod 4 that is never learned from
 
 
@@ -56,17 +56,22 @@ def utf8_rows(batch: pa.RecordBatch, text: int = 1) -> Iterator[tuple[int | None
     yield from zip(ids, column.cast(pa.large_binary() if wide else pa.binary()).to_pylist(), strict=True)
 
 
-BITMAP_BITS = 1 << 25  # 4 MB at most, however many keys there are
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28  # of a bitmap: 128 KB to 32 MB
 
 
 def key_bitmap(keys: DataFrame, column: str):
-    """A broadcast bitmap of 64-bit keys. Its size is fixed, so more keys only let more rows pass it."""
+    """A broadcast bitmap of 64-bit keys, with 8 bits or more a key up to MOST_BITS. Beyond that more rows pass it; an exact join
+    always follows."""
     import numpy as np
 
-    bit = F.pmod(F.col(column), F.lit(BITMAP_BITS))
+    count = keys.count()
+    bits = LEAST_BITS
+    while bits < min(8 * count, MOST_BITS):
+        bits *= 2
+    bit = F.pmod(F.col(column), F.lit(bits))
     words = keys.select(bit.alias("b")).groupBy(F.floor(F.col("b") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b % 64 AS INT))")).alias("bits"))
     got = words.toArrow()
-    bitmap = np.zeros(BITMAP_BITS // 64, np.int64)
+    bitmap = np.zeros(bits // 64, np.int64)
     bitmap[got.column("w").to_numpy()] = got.column("bits").to_numpy()
     return keys.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
 
@@ -75,10 +80,16 @@ def in_bitmap(bitmap, keys):
     """Boolean array: which of the int64 keys may be in the bitmap (no false negatives)."""
     import numpy as np
 
-    bit = np.mod(keys, BITMAP_BITS).astype(np.uint64)
+    bit = np.mod(keys, 64 * len(bitmap)).astype(np.uint64)
     return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
 
 
+def plain(docs: DataFrame, *known: str) -> DataFrame:
+    """docs with every column but the known ones under a name that no operator uses (extra 0, extra 1, ...), whatever it was called."""
+    names = [n if n in known and n not in docs.columns[:i] else f"extra {i}" for i, n in enumerate(docs.columns)]
+    return docs.toDF(*names)
+
+
 def row_keys(docs: DataFrame) -> DataFrame:
     """Add _k1, _k2: 128 bits that identify a row's doc_id, source and text; equal rows share them."""
     return docs.withColumns({"_k1": F.xxhash64("doc_id", "source", "text"), "_k2": F.xxhash64(F.lit("second"), "text", "doc_id", "source")})

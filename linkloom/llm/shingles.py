@@ -55,9 +55,28 @@ def cut_words(texts: list[bytes], space: np.ndarray, byte_mix: np.ndarray) -> tu
     return data, starts, ends, hashes, np.searchsorted(starts, edges)
 
 
+PIECE = 1 << 19  # bytes of a long text whose words are hashed at a time
+
+
+def text_words(text: bytes) -> np.ndarray:
+    """Hashes of a text's words, worked out in pieces that end at white space."""
+    found, at = [], 0
+    while at < len(text):
+        end = at + PIECE
+        while end < len(text) and not SPACE[text[end]]:
+            end += 1
+        found.append(cut_words([text[at:end]], SPACE, BYTE_MIX)[3])
+        at = end
+    return np.concatenate(found)
+
+
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its 5-word shingles; of fewer words, one of the whole sequence."""
-    _, _, _, words, first = cut_words(texts, SPACE, BYTE_MIX)
+    if len(texts) == 1 and len(texts[0]) > PIECE:
+        words = text_words(texts[0])
+        first = np.array([0, len(words)])
+    else:
+        _, _, _, words, first = cut_words(texts, SPACE, BYTE_MIX)
     with np.errstate(over="ignore"):
         windows = max(0, len(words) - WORDS + 1)
         total = np.full(windows, LENGTH_MIX[WORDS])
@@ -75,12 +94,12 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
-    """128 bits that identify a set, as two signed integers."""
+def fingerprint(shingles: np.ndarray) -> bytes:
+    """16 bytes that identify a set."""
     with np.errstate(over="ignore"):
         a = mix(shingles ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64) + np.uint64(len(shingles))
         b = np.bitwise_xor.reduce(mix(shingles + np.uint64(0x0123456789ABCDEF)))
-    return int(np.int64(mix(np.array([a]))[0].astype(np.int64))), int(b.astype(np.int64))
+    return np.array([mix(np.array([a]))[0], b], ">u8").tobytes()
 
 
 COORDINATES = 120
@@ -123,8 +142,3 @@ def band_keys(coordinates: np.ndarray, bands: int = BANDS) -> np.ndarray:
         for k in range(rows.shape[1]):
             total = mix(total * np.uint64(BASE) + rows[:, k])
     return total.astype(np.int64)
-
-
-def coordinate_bytes(coordinates: np.ndarray) -> bytes:
-    """A byte of each coordinate, enough to estimate similarity."""
-    return (mix(coordinates) & np.uint64(255)).astype(np.uint8).tobytes()
