@@ -21,10 +21,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+FILES_PER_CORE = 4
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the checkpoint folder and forget how it was made."""
+    """Materialise in the checkpoint folder and forget how it was made.
+
+    Many small partitions become fewer files: every file costs requests to the store, or processes that set its mode.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism).checkpoint(eager=True)
 
 
 def remove_folder(spark: SparkSession, folder: str) -> None:
