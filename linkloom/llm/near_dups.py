@@ -94,7 +94,7 @@ def sketched(docs: DataFrame, bands: int) -> DataFrame:
 def sets_of(docs: DataFrame, base: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, shingles (sorted 64-bit hashes as bytes) for the nodes of a table. One document of each node is
     read again; a bitmap of their row keys tells the scan which texts to hash."""
-    chosen = cut(base.select("node", "_k1").join(nodes, "node").groupBy("node").agg(F.min("_k1").alias("_k1")))
+    chosen = cut(base.groupBy("node").agg(F.min("_k1").alias("_k1")).join(nodes, "node"))
     sent = key_bitmap(chosen, "_k1")
     schema = pa.schema([("node", pa.binary()), ("shingles", pa.binary())])
 
