@@ -58,6 +58,31 @@ class SpanHasher:
             return (total[ends] - total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64)
 
 
+def distinct_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For spans of bytes the number of the distinct string each holds, and where each such string occurs first.
+
+    Spans are grouped by hash, and every byte is compared with the group's first span; were two strings to share a hash,
+    the strings themselves would group the spans.
+    """
+    group, distinct = pd.factorize(hashes)
+    first = np.empty(len(distinct), np.int64)
+    first[group[::-1]] = np.arange(len(group))[::-1]
+    of = first[group]
+    more = np.flatnonzero(of != np.arange(len(group)))
+    a, b, sizes = starts[more], starts[of[more]], (ends - starts)[more]
+    if (sizes == (ends - starts)[of[more]]).all():
+        within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        if (raw[within + np.repeat(a, sizes)] == raw[within + np.repeat(b, sizes)]).all():
+            return group, first
+    data, number, found = raw.tobytes(), {}, []
+    for k, (x, y) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        n = number.setdefault(data[x:y], len(number))
+        group[k] = n
+        if n == len(found):
+            found.append(k)
+    return group, np.array(found, np.int64)
+
+
 class Classes:
     """The kind of each code point, found out once per code point."""
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
-from linkloom.llm.sentence_pieces import decode_pieces, encode_pieces, op1_sentence_pieces, piece_model
+from linkloom.llm.sentence_pieces import decode_pieces, encode_pieces, op1_sentence_pieces, piece_model, round_trip
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 BITS = ["'s", " ", "  ", "     ", "\n", "\t", "a", "Hello", "é", "ñ", "12", "٣", "!?", "...", "<s>", "<0x41>", "　", "漢字", "😀", "don't", "ing", "tion", "the", "▁", "▁▁", " " * 17, "aaaa", "zzzzzz", "er", "in", "on", "  x"]
@@ -67,3 +68,26 @@ def test_tables(spark, library, tmp_path):
         r = next(r for r in got if r["doc_id"] == d)
         assert (r["n_ids"], r["ids_crc32"], r["n_chars"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), len(text))
         assert r["text_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("bits", [["the", "ing", "tion", "er", "in", "s", "q"], ["a"], ["漢", "é", "x", "on", "😀"], [" ", "a", " the"]])
+def test_very_long_texts_with_and_without_blanks(library, bits):
+    rng = random.Random(len(bits))
+    text = "".join(rng.choice(bits) for _ in range(2_000_000 // len("".join(bits)) * len(bits) // 2))
+    began = time.perf_counter()
+    got = piece_model(PATH).encode([text.encode(), b"short", b""])
+    assert time.perf_counter() - began < 30
+    assert got == library.encode([text, "short", ""])
+
+
+def test_chunks_with_one_hash_are_told_apart(library, monkeypatch):
+    model = piece_model(PATH)
+    monkeypatch.setattr(model, "hasher", lambda codes, starts, ends: np.zeros(len(starts), np.uint64))
+    part = texts(50, 9)
+    assert model.encode([t.encode() for t in part]) == library.encode(part)
+
+
+def test_empty_table_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 5)], "doc_id long, text string, n_ids int")
+    assert round_trip(df, PATH).columns == ["doc_id", "n_ids", "ids_crc32", "text"]
+    assert round_trip(df.limit(0), PATH).count() == encode_pieces(df.limit(0), PATH).count() == 0
