@@ -6,17 +6,21 @@ A byte goes if a string of ``length`` bytes that covers it also starts anywhere
    equal windows have equal minimizers at equal offsets. Windows whose minimizer occurs once are unique;
    counting minimizers is one small aggregation.
 2. Snippets. The other windows go, by minimizer, to index tasks as snippets: the text under neighbouring
-   windows with the same minimizer. A task sends the text of a snippet once, however often it has it.
+   windows with the same minimizer. A task sends a snippet's text once and a mark of its second copy, both
+   told from the others by their bytes; of further copies it keeps a reference to what it has sent.
 3. Index. A task lays its distinct snippets end to end, about half a megabyte at a time, builds a
    run-length compressed Burrows-Wheeler transform with the suffixes sampled at run ends, streams the
-   matching statistics, and marks windows with a match of full length. A snippet is in the index once,
-   with the number of its occurrences; if that is two or more, all its windows have a match.
-4. A minimizer with very many occurrences is spread over several index tasks; what is unique in its own
-   task is then compared across tasks by the fingerprints of the windows, so no task holds it whole.
+   matching statistics, and marks windows with a match of full length. Nothing else marks a window. Of
+   equal snippets the index holds one: suffixes of a copy stand next to those of its text, so a copy makes
+   runs longer and adds one sample, at its first byte. References take the marks of what they refer to.
+4. A minimizer with very many occurrences is spread over several index tasks. Windows that are unique in
+   their own task go with their text to a second round, where a fingerprint of the whole window decides
+   which index they meet in; so no task holds all that one minimizer has.
 
 Defined cases: a null text is empty and loses nothing; texts shorter than ``length`` lose nothing; equal
-rows are different documents, so whatever they hold in windows goes from both; other columns are
-ignored; an empty table gives no rows.
+rows are different documents, so whatever they hold in windows goes from both; every one of several
+equal strings goes, so there are no ties; very long texts are scanned in pieces that overlap; other columns
+are ignored (repeat_report) or kept, whatever their names (remove_repeats); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,11 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm.byte_bpe import BASE, mixed
-from linkloom.llm.common import batches, cut, in_bitmap, key_bitmap, row_keys, table
+from linkloom.llm.common import batches, cut, in_bitmap, key_bitmap, plain, row_keys, table
 from linkloom.llm.packing import _portions
 from linkloom.llm.runindex import RunIndex
 from linkloom.llm.shingles import _Powers, mix
@@ -39,8 +44,10 @@ LENGTH = 400
 GRAM = 32  # bytes of the strings that minimizers are taken from
 PORTION = 1 << 18  # bytes of text scanned at a time
 INDEX_BYTES = 1 << 19  # snippet text of one index
-SPREAD = 4_000  # occurrences of a minimizer that one index task takes
+SPREAD = 2_000  # occurrences of a minimizer that one index task takes
 BUCKET_PRINTS = 1 << 18  # window fingerprints that are compared at a time
+PLACE_BITS = np.uint64(20)  # of a place in a portion; a gram hash gives up so many bits
+MET_BYTES = 16 << 20  # of snippets that a task remembers
 BYTE_MIX = mixed(np.arange(256) + 70_000)
 
 
@@ -64,8 +71,8 @@ class Scan:
             self.total = np.zeros(n + 1, np.uint64)
             np.cumsum(BYTE_MIX[raw] * up[:n], out=self.total[1:])
             grams = mix((self.total[GRAM:] - self.total[:-GRAM]) * self.down[: n - GRAM + 1])
-        bits = np.uint64(int(n).bit_length())
-        low = (np.uint64(1) << bits) - np.uint64(1)
+        assert n < 1 << int(PLACE_BITS)
+        low = (np.uint64(1) << PLACE_BITS) - np.uint64(1)
         order = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
         least = (_sliding_min(order, wide) & low).astype(np.int64)  # for each window start, where its minimizer is
         starts = np.arange(len(least))
@@ -118,29 +125,35 @@ def _scans(it: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[Scan, li
             yield Scan(cut_texts[a:b], length), [[c[i] for i, _ in pieces[a:b]] for c in rest], [x for _, x in pieces[a:b]]
 
 
-SNIPPETS = "minimizer long, direct boolean, k1 long, k2 long, first long, windows int, digest long, bytes binary"
+TEXT, SECOND, FURTHER = 0, 1, 2  # kinds of rows: a snippet's text, its second copy in a task, a further copy
+SNIPPETS = "minimizer long, kind int, rep long, k1 long, k2 long, first long, windows int, digest long, bytes binary"
 
 
 class Copies:
-    """How often a task has met a snippet; forgets now and then, which only costs sending it again."""
-
-    def __init__(self, most: int = 200_000):
-        self.met: dict[tuple[int, int], int] = {}
-        self.most = most
-
-    def before(self, key: tuple[int, int]) -> int:
-        if len(self.met) > self.most:
-            self.met.clear()
-        n = self.met.get(key, 0)
-        self.met[key] = n + 1
-        return n
+    """How often a task has met something, and a number for it; forgets now and then, which only costs sending it again."""
+
+    def __init__(self, most: int = MET_BYTES):
+        self.met: dict = {}
+        self.size, self.most, self.given = 0, most, 0
+
+    def before(self, key, size: int) -> tuple[int, int]:
+        entry = self.met.get(key)
+        if entry is None:
+            if self.size > self.most:
+                self.met.clear()
+                self.size = 0
+            entry = self.met[key] = [0, self.given]
+            self.given += 1
+            self.size += size
+        entry[0] += 1
+        return entry[0] - 1, entry[1]
 
 
 def snippets(docs: DataFrame, length: int, spread: int) -> DataFrame:
     """The snippets whose minimizer occurs twice or more. part: which of its index tasks a minimizer's occurrence goes to.
 
-    A task sends a snippet twice at most, with its text once: these meet in the index and show that it is
-    repeated. Further copies are known to be repeated and go, as part -1, wherever there is room.
+    rep: a task's number for a snippet. Of a snippet's copies a task sends two to the index; the others go, as
+    part -1, wherever there is room.
     """
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,51 +161,53 @@ def snippets(docs: DataFrame, length: int, spread: int) -> DataFrame:
         for scan, _, _ in _scans(it, length):
             every = np.arange(len(scan.start))
             keys = zip(scan.minimizer.tolist(), (scan.digests(every) if len(every) else every).tolist(), strict=True)
-            yield pa.record_batch([pa.array([k[0] for k in keys if copies.before(k) < 2], pa.int64())], names=["minimizer"])
+            yield pa.record_batch([pa.array([k[0] for k in keys if copies.before(k, 80)[0] < 2], pa.int64())], names=["minimizer"])
 
     counts = docs.select("text").mapInArrow(count, "minimizer long").groupBy("minimizer").agg(F.count(F.lit(1)).alias("n"))
     often = cut(counts.filter("n > 1"))
     sent = key_bitmap(often, "minimizer")
-    schema = pa.schema([("minimizer", pa.int64()), ("direct", pa.bool_()), ("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int64()), ("windows", pa.int32()), ("digest", pa.int64()), ("bytes", pa.binary())])
+    schema = pa.schema([("minimizer", pa.int64()), ("kind", pa.int32()), ("rep", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int64()), ("windows", pa.int32()), ("digest", pa.int64()), ("bytes", pa.binary())])
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        bitmap, copies = sent.value, Copies()
+        bitmap, copies, own = sent.value, Copies(), TaskContext.get().partitionId() << 40
         for scan, (k1, k2), base in _scans(it, length):
             pick = np.flatnonzero(in_bitmap(bitmap, scan.minimizer))
             columns = (pick, scan.minimizer[pick], scan.text[pick], scan.first[pick], scan.windows[pick], scan.digests(pick) if len(pick) else pick)
             for i, h, t, first, windows, digest in zip(*(c.tolist() for c in columns), strict=True):
-                n = copies.before((h, digest))
-                yield k1[t] if n > 1 else h, n > 1, k1[t], k2[t], base[t] + first, windows, digest, None if n else scan.snippet(i)
+                text = scan.snippet(i)
+                n, rep = copies.before((h, text), len(text))
+                kind = min(n, FURTHER)
+                yield k1[t] if kind == FURTHER else h, kind, own + rep, k1[t], k2[t], base[t] + first, windows, digest, None if n else text
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches(rows(it), schema, 4096, 4 << 20)
+        yield from batches(rows(it), schema, 4096, 2 << 20)
 
     found = row_keys(docs.select("doc_id", "source", "text")).select("text", "_k1", "_k2").mapInArrow(run, SNIPPETS)
     heavy = often.filter(F.col("n") > spread).select("minimizer", F.ceil(F.col("n") / spread).cast("int").alias("parts"))
     parts = found.join(heavy, "minimizer", "left")
-    part = F.when(F.col("direct"), F.lit(-1)).otherwise(F.coalesce(F.pmod(F.col("digest"), F.col("parts")), F.lit(0)))
-    return parts.select("minimizer", part.cast("int").alias("part"), "k1", "k2", "first", "windows", "digest", "bytes", (F.col("parts").isNotNull() & ~F.col("direct")).alias("heavy"))
-
-
-def _indexed(group: list[tuple], length: int) -> Iterator[tuple[tuple, np.ndarray, bytes]]:
-    """For the rows of some minimizers: each row, which of its windows have an equal one among the rows, and its text."""
-    place: dict[tuple, list] = {}  # of a snippet: how many rows have it, its text
-    for row in group:
-        entry = place.setdefault((row[0], row[6]), [0, None])
-        entry[0] += 1
-        entry[1] = entry[1] or row[7]
-    texts: list[bytes] = []
-    number = {}
-    for key, (copies, text) in place.items():
-        number[key] = len(texts)
-        texts.append(text)
-    index = RunIndex(texts)
+    further = F.col("kind") == FURTHER
+    part = F.when(further, F.lit(-1)).otherwise(F.coalesce(F.pmod(F.col("digest"), F.col("parts")), F.lit(0)))
+    return parts.select("minimizer", part.cast("int").alias("part"), "kind", "rep", "k1", "k2", "first", "windows", "bytes", (F.col("parts").isNotNull() & ~further).alias("heavy"))
+
+
+def _marked(keyed: list[tuple], length: int) -> tuple[list[int], list[bytes], list[np.ndarray]]:
+    """For (group, text) keys, None for another copy of the key before it: the number of each one's text, the distinct
+    texts, and for each of these which of its windows the index finds elsewhere among all."""
+    number: dict[tuple, int] = {}
+    copied: list[bool] = []
+    of: list[int] = []
+    for key in keyed:
+        k = number.setdefault(key, len(number))
+        if k == len(copied):
+            copied.append(False)
+        else:
+            copied[k] = True
+        of.append(k)
+    texts = [text for _, text in number]
+    index = RunIndex(texts, np.array(copied))
     long = index.statistics() >= length
-    begin = index.ends - index.lengths
-    for row in group:
-        k = number[row[0], row[6]]
-        copies = place[row[0], row[6]][0]
-        yield row, long[begin[k] : begin[k] + row[5]] | (copies > 1), texts[k]
+    begin = (index.ends - index.lengths).tolist()
+    return of, texts, [long[a : a + len(t) - length + 1] for a, t in zip(begin, texts, strict=True)]
 
 
 def _runs(marked: np.ndarray) -> list[tuple[int, int]]:
@@ -201,72 +216,86 @@ def _runs(marked: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[0::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
 
 
+FOUND = "k1 long, k2 long, first long, last long, rep long, bytes binary"
+
+
 def repeated_windows(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD) -> DataFrame:
     """k1, k2 (of row_keys), first, last: runs of window starts in a document that have an equal window elsewhere."""
     order = ["minimizer", "part"]
-    names = ["minimizer", "part", "k1", "k2", "first", "windows", "digest", "bytes", "heavy"]
-    rows = snippets(docs, length, spread).repartition(*order).sortWithinPartitions(*order).select(*names)
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("prints", pa.binary())])
+    names = ["minimizer", "part", "kind", "rep", "k1", "k2", "first", "windows", "bytes", "heavy"]
+    rows = snippets(docs, length, spread).repartition(*order).sortWithinPartitions(*order, "kind").select(*names)
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("rep", pa.int64()), ("bytes", pa.binary())])
 
     def groups(it: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         group, size, at = [], 0, None
         for batch in it:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:2] != at and (size > INDEX_BYTES or (group and (row[8] or group[-1][8]))):
+                if row[:2] != at and (size > INDEX_BYTES or (group and (row[9] or group[-1][9]))):
                     yield group
                     group, size = [], 0
                 at = row[:2]
                 group.append(row)
-                size += len(row[7] or b"")
+                size += len(row[8] or b"")
         if group:
             yield group
 
     def marks(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Runs of a document's windows (k1, k2, first, last), further copies (k1, k2, first, rep), the runs of what these
+        refer to (rep, first, last), and text that goes to the second round (k1, k2, first, bytes or, of marked windows, bytes)."""
         for together in groups(it):
             group = []
             for row in together:
-                if row[1] < 0:
-                    yield row[2], row[3], row[4], row[4] + row[5] - 1, None
+                if row[2] == FURTHER:
+                    yield row[4], row[5], row[6], None, row[3], None
                 else:
                     group.append(row)
             if not group:
                 continue
-            shown: set[int] = set()  # fingerprints of marked windows, sent once
-            prints: dict[int, np.ndarray] = {}
-            for row, marked, text in _indexed(group, length):
-                _, _, k1, k2, first, _, digest, _, heavy = row
-                for a, b in _runs(marked):
-                    yield k1, k2, first + a, first + b, None
-                if heavy and not (digest in prints and marked.all()):
-                    if digest not in prints:
-                        prints[digest] = window_prints(text, length)
-                        fresh = [x for x in prints[digest][marked].tolist() if x not in shown]
-                        shown.update(fresh)
-                        if fresh:
-                            yield None, None, None, None, np.array(fresh, np.int64).tobytes()
-                    for a, b in _runs(~marked):
-                        yield k1, k2, first + a, None, prints[digest][a : b + 1].tobytes()
+            text_of = {row[3]: (row[0], row[8]) for row in group if row[2] == TEXT}
+            of, texts, marked = _marked([text_of[row[3]] for row in group], length)
+            runs = [_runs(m) for m in marked]
+            shown: set[int] = set()
+            for row, k in zip(group, of, strict=True):
+                _, _, kind, rep, k1, k2, first, _, _, heavy = row
+                for a, b in runs[k]:
+                    yield k1, k2, first + a, first + b, None, None
+                    if kind == SECOND:
+                        yield None, None, a, b, rep, None
+                if heavy:
+                    for a, b in _runs(~marked[k]):
+                        yield k1, k2, first + a, None, None, texts[k][a : b + length]
+                    if k not in shown:
+                        for a, b in runs[k]:
+                            yield None, None, None, None, None, texts[k][a : b + length]
+                    shown.add(k)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches(marks(it), schema, 4096)
+        yield from batches(marks(it), schema, 4096, 2 << 20)
 
-    found = cut(rows.mapInArrow(run, "k1 long, k2 long, first long, last long, prints binary"))
-    return found.filter("prints is null").drop("prints").unionByName(_across(found.filter("prints is not null").drop("last")))
+    found = cut(rows.mapInArrow(run, FOUND))
+    spans = found.filter("k1 is not null and last is not null").select("k1", "k2", "first", "last")
+    verdicts = found.filter("k1 is null and rep is not null").select("rep", F.col("first").alias("a"), F.col("last").alias("b"))
+    copies = found.filter("k1 is not null and rep is not null").select("rep", "k1", "k2", "first").join(verdicts, "rep")
+    copies = copies.select("k1", "k2", (F.col("first") + F.col("a")).alias("first"), (F.col("first") + F.col("b")).alias("last"))
+    return spans.unionByName(copies).unionByName(_across(found.filter("bytes is not null").select("k1", "k2", "first", "bytes"), length))
 
 
-def _across(prints: DataFrame) -> DataFrame:
-    """Windows of heavy minimizers that are unique in their index task but have an equal one in another."""
+def _across(texts: DataFrame, length: int) -> DataFrame:
+    """Windows of heavy minimizers that are unique in their index task but have an equal one in another's texts."""
 
-    total = prints.agg(F.coalesce(F.sum(F.octet_length("prints")), F.lit(0))).first()[0] // 8
+    total = texts.agg(F.coalesce(F.sum(F.octet_length("bytes") - length + 1), F.lit(0))).first()[0]
     buckets = total // BUCKET_PRINTS + 1
 
     def dealt(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A task's fingerprints, those of a bucket in one row."""
+        """A task's distinct fingerprints of windows, those of a bucket in one row; such as it has twice go twice."""
         held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                every = np.concatenate(held)
+                every = np.sort(np.concatenate(held))
+                third = np.zeros(len(every), bool)
+                third[2:] = every[2:] == every[:-2]
+                every = every[~third]
                 bucket = np.mod(every, buckets)
                 by = np.argsort(bucket, kind="stable")
                 edge = np.flatnonzero(np.diff(bucket[by], prepend=-1))
@@ -275,9 +304,9 @@ def _across(prints: DataFrame) -> DataFrame:
 
         for batch in it:
             for x in batch.column(0).to_pylist():
-                held.append(np.frombuffer(x, np.int64))
+                held.append(window_prints(x, length))
                 size += len(held[-1])
-                if size > 8 * BUCKET_PRINTS:
+                if size > BUCKET_PRINTS:
                     yield from flush()
                     held, size = [], 0
         yield from flush()
@@ -298,30 +327,57 @@ def _across(prints: DataFrame) -> DataFrame:
         if held:
             yield twice_in(held)
 
-    by_bucket = prints.select("prints").mapInArrow(dealt, "bucket long, prints binary").repartition("bucket").sortWithinPartitions("bucket")
+    by_bucket = texts.select("bytes").mapInArrow(dealt, "bucket long, prints binary").repartition("bucket").sortWithinPartitions("bucket")
     twice = cut(by_bucket.mapInArrow(repeated, "print long"))
     sent = key_bitmap(twice, "print")
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int64()), ("print", pa.int64())])
+    schema = pa.schema([("print", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int64()), ("bytes", pa.binary())])
 
     def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
+            marked = Copies()  # of windows that are marked already two in a task are enough
             for batch in it:
                 for k1, k2, first, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    own = np.frombuffer(data, np.int64)
+                    own = window_prints(data, length)
                     for w in np.flatnonzero(in_bitmap(sent.value, own)).tolist():
-                        yield k1, k2, first + w, int(own[w])
+                        text = data[w : w + length]
+                        if k1 is not None or marked.before(text, length)[0] < 2:
+                            yield int(own[w]), k1, k2, None if k1 is None else first + w, text
+
+        yield from batches(rows(), schema, 4096, 2 << 20)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def decided(group: list[tuple]) -> Iterator[tuple]:
+            of, _, marked = _marked([(row[0], row[4]) for row in group], length)
+            for (_, k1, k2, first, _), k in zip(group, of, strict=True):
+                if k1 is not None and marked[k][0]:
+                    yield k1, k2, first
+
+        def rows() -> Iterator[tuple]:
+            group: list[tuple] = []
+            for batch in it:
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if len(group) * length > INDEX_BYTES and row[0] != group[-1][0]:
+                        yield from decided(group)
+                        group = []
+                    group.append(row)
+            if group:
+                yield from decided(group)
 
-        yield from batches(rows(), schema, 4096)
+        yield from batches(rows(), pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int64())]), 4096)
 
-    late = prints.filter("k1 is not null").select("k1", "k2", "first", "prints").mapInArrow(near, "k1 long, k2 long, first long, print long")
-    return late.join(twice, "print", "left_semi").select("k1", "k2", "first", F.col("first").alias("last"))
+    late = texts.mapInArrow(near, "print long, k1 long, k2 long, first long, bytes binary").join(twice, "print", "left_semi")
+    late = late.repartition("print").sortWithinPartitions("print").select("print", "k1", "k2", "first", "bytes")
+    return late.mapInArrow(run, "k1 long, k2 long, first long").select("k1", "k2", "first", F.col("first").alias("last"))
 
 
 def window_prints(text: bytes, length: int) -> np.ndarray:
     """64-bit fingerprints of all windows of a snippet."""
-    scan = Scan([text], length)
-    starts = np.arange(len(text) - length + 1)
-    return scan.fingerprints(starts, starts + length)
+    raw = np.frombuffer(text, np.uint8)
+    up, down = _Powers.upto(len(raw) + 1)
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(BYTE_MIX[raw] * up[: len(raw)], out=total[1:])
+        return mix((total[length:] - total[:-length]) * down[: len(raw) - length + 1]).astype(np.int64)
 
 
 def covered(spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -376,6 +432,7 @@ def _each(it: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa.Record
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD) -> DataFrame:
     """docs with the repeated bytes cut out of text (what is left of a cut character goes too), n_chars counted anew."""
+    user, docs = docs.columns, plain(docs, "doc_id", "source", "text", "n_chars")
     names = docs.columns
     marked = with_ranges(docs, length, spread)
 
@@ -386,7 +443,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD)
             yield pa.record_batch(columns, names=names)
 
     out = marked.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.toDF(*user)
 
 
 def repeat_report(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD) -> DataFrame:

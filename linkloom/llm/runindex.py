@@ -4,6 +4,10 @@ The texts are laid end to end, each closed by a separator of its own. Sorting th
 Burrows-Wheeler transform; it is kept as runs with the suffixes at the ends of each run as samples. A
 suffix inside a run shares with its neighbour one byte less than the suffix before it in the text, so
 match lengths are worked out only at the samples and streamed through the text from there.
+
+Of equal texts one is laid down. Each suffix of a copy would stand next to the same suffix of its text and
+follow the same byte, so in the transform copies only lengthen runs; the one new head of a run, and so the
+one new sample, is the copy's first suffix, which agrees with its text to the end.
 """
 
 from __future__ import annotations
@@ -69,7 +73,9 @@ def match_lengths(words: np.ndarray, room: np.ndarray, a: np.ndarray, b: np.ndar
 class RunIndex:
     """Run-compressed transform of texts, with the suffixes sampled at both ends of every run."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], copied: np.ndarray | None = None):
+        """copied: which of the texts, all different, have copies."""
+        self.copied = np.zeros(len(texts), bool) if copied is None else copied
         self.lengths = np.array([len(t) for t in texts], np.int64)
         data = b"\0".join([*texts, b""])
         raw = np.frombuffer(data, np.uint8)
@@ -98,4 +104,7 @@ class RunIndex:
             reach = np.zeros(self.n, np.int64)
             reach[sample] = sample + lengths
             best = np.maximum(best, np.maximum.accumulate(reach) - place)
+        reach = np.zeros(self.n, np.int64)
+        reach[(self.ends - self.lengths)[self.copied]] = self.ends[self.copied]
+        best = np.maximum(best, np.maximum.accumulate(reach) - place)
         return np.minimum(np.maximum(best, 0), self.room)

@@ -1,5 +1,8 @@
 import hashlib
+import os
 import random
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
@@ -104,3 +107,34 @@ def test_removal_keeps_columns(spark):
     assert got[1]["text"] == "" and got[1]["n_chars"] == 0 and got[2]["text"] == "tail"
     assert got[3]["text"] == "short" and got[4]["text"] is None
     assert remove_repeats(df.limit(0)).count() == 0
+
+
+def test_only_the_statistics_of_the_index_mark(spark, tmp_path):
+    """In a session of its own: with statistics of zero nothing goes, copies and heavy minimizers included."""
+    script = tmp_path / "zero.py"
+    script.write_text(
+        "import numpy as np\nfrom linkloom.llm import repeats\nfrom linkloom.llm.runindex import RunIndex\nfrom tests.llm.test_repeats import SCHEMA, corpus\n"
+        "from pyspark.sql import SparkSession\nimport pyspark.cloudpickle as cp, linkloom.llm.runindex as m\n"
+        "cp.register_pickle_by_value(repeats)\ncp.register_pickle_by_value(m)\nRunIndex.statistics = lambda self: np.zeros(self.n, np.int64)\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.sql.shuffle.partitions', 2).config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "print('REMOVED', sum(r['n_removed'] for r in repeats.repeat_report(spark.createDataFrame(corpus(), SCHEMA).repartition(2), 40, 4).collect()))\n"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    said = subprocess.run([sys.executable, str(script)], cwd=root, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=300)
+    assert "REMOVED 0" in said.stdout, said.stderr[-2000:]
+
+
+def test_index_finds_copies():
+    index = RunIndex([b"abcd" * 30, b"something else", b""], np.array([True, False, False]))
+    assert index.statistics()[:121].tolist() == list(range(120, -1, -1))
+    assert repeats._marked([("a", b"0123456789" * 5), ("b", b"q" * 39 + b"r"), ("a", b"0123456789" * 5)], 40)[2][0].all()
+
+
+def test_clashing_columns_and_an_empty_table(spark):
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdef ") for _ in range(900))
+    rows = [(1, text, "s", 7, 8, 9, 10), (2, "x" + text, "s", 7, 8, 9, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, spans int, _k1 int, _k2 int, Text2 int")
+    got = remove_repeats(df)
+    assert got.columns == df.columns and sorted(tuple(r) for r in got.collect()) == [(1, "", "s", 7, 8, 9, 10), (2, "x", "s", 7, 8, 9, 10)]
+    assert remove_repeats(df.limit(0)).count() == repeat_report(df.limit(0)).count() == 0
