@@ -16,11 +16,14 @@ emit, and only these are counted exactly by distinct text and joined back. Texts
 documents that are rejected or hold boilerplate.
 
 Defined cases: a null text has no words and is rejected; a null host is a host of its own; repeated
-rows get equal verdicts; other columns are ignored; an empty table gives no rows.
+rows get equal verdicts; a share equal to a limit is within it; a very long text is counted whole, line
+by line; other columns are ignored (quality_report) or kept, whatever their names (keep_good); an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,12 +33,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import batches, cut, drop_rows, in_bitmap, keep_rows, key_bitmap, row_keys, table
+from linkloom.llm.common import batches, cut, drop_rows, in_bitmap, keep_rows, key_bitmap, plain, row_keys, table
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-MIN_DOCS = 50  # a line in at most so many distinct documents of a host is never boilerplate
-STAGE_MIN_DOCS = 2  # the same in the pipeline's stage: a floor against chance, so that the share decides on small hosts too
+MIN_DOCS = 2  # a line in at most so many distinct documents of a host is never boilerplate: a floor against chance, so that the share decides on small hosts too
 MAX_SHARE_PERCENT = 2  # of the host's distinct documents
 MAX_REMOVED_PERCENT = 70  # of a document's words
 SALTS = 64
@@ -84,11 +86,12 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple]:
 
 
 def _count_scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("line", pa.int64())])
     for batch in it:
+        hashes = array("q")
         for text, host in _texts(batch):
             if text:
-                yield pa.record_batch([pa.array(line_words(text, host), pa.int64())], schema=schema)
+                hashes.extend(line_words(text, host))
+        yield pa.record_batch([pa.array(np.frombuffer(hashes, np.int64))], names=["line"])
 
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -98,7 +101,7 @@ def quality_report(docs: DataFrame, min_docs: int = MIN_DOCS, max_share_percent:
     """One row per document row: doc_id, the five counts, base_failed, n_removed_words, kept, the row's _k1 and _k2, and removed_lines (hashes)."""
     keyed = row_keys(docs.select("doc_id", "text", "source"))
     lines = docs.select("text", "source").mapInArrow(_count_scan, "line long")
-    often = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_docs).select("line")
+    often = cut(lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_docs).select("line"))
     sent = key_bitmap(often, "line")
 
     schema = pa.schema([("doc_id", pa.int64()), ("_k1", pa.int64()), ("_k2", pa.int64()), ("_fp", pa.int64()), ("_host", pa.int64())] + [(m, pa.int64()) for m in MEASURES] + [("_lines", pa.list_(pa.int64())), ("_words", pa.list_(pa.int64()))])
@@ -137,8 +140,9 @@ def cut_lines(text: bytes, host: bytes | None, removed: set[int]) -> bytes:
     return b"\n".join(x for x in text.split(b"\n") if line_words(x, host).keys().isdisjoint(removed))
 
 
-def keep_good(docs: DataFrame, min_docs: int = STAGE_MIN_DOCS) -> DataFrame:
+def keep_good(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs without the rows that quality_report rejects and without boilerplate lines in the others, whose n_chars, where there is one, is counted anew."""
+    user, docs = docs.columns, plain(docs, "doc_id", "source", "text", "n_chars")
     report = quality_report(docs, min_docs)
     verdicts = cut(report.filter(~F.col("kept") | (F.col("n_removed_words") > 0)).select("_k1", "_k2", "kept", "removed_lines").dropDuplicates(["_k1", "_k2"]))
     good = drop_rows(docs, verdicts.select("_k1", "_k2"))
@@ -157,7 +161,7 @@ def keep_good(docs: DataFrame, min_docs: int = STAGE_MIN_DOCS) -> DataFrame:
     held = keep_rows(docs, verdicts.filter("kept").select("_k1", "_k2", "removed_lines")).mapInArrow(run, schema)
     if "n_chars" in names:
         held = held.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
-    return good.unionByName(held)
+    return good.unionByName(held).toDF(*user)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

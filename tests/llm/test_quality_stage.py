@@ -40,3 +40,12 @@ def test_equal_shares_are_treated_alike_on_small_and_large_hosts(spark):
     rows = host_rows(rng, "small", 30, 10, line, 0) + host_rows(rng, "large", 600, 10, line, 1000) + host_rows(rng, "rare", 300, 1, line, 5000) + host_rows(rng, "tiny", 2, 100, line, 9000)
     left = {r["source"] for r in keep_good(spark.createDataFrame(rows, SCHEMA)).collect() if line.split()[0] in r["text"].lower()}
     assert left == {"rare", "tiny"}
+
+
+def test_clashing_columns_and_an_empty_table(spark):
+    rng = random.Random(4)
+    rows = [(*r, 1, 2) for r in host_rows(rng, "big", 60, 30, "subscribe to our letter", 0)]
+    df = spark.createDataFrame(rows, SCHEMA + ", _k1 long, removed_lines int")
+    out = keep_good(df)
+    assert out.columns == df.columns and {(r["_k1"], r["removed_lines"]) for r in out.collect()} == {(1, 2)} and out.count() == 60
+    assert keep_good(df.limit(0)).count() == 0
