@@ -41,6 +41,7 @@ from linkloom.llm.runindex import RunIndex
 from linkloom.llm.shingles import _Powers, mix
 
 LENGTH = 400
+STAGE_LENGTH = 240  # of the pipeline's stage: passages of 50 words or more, which may have fewer than 400 bytes
 GRAM = 32  # bytes of the strings that minimizers are taken from
 PORTION = 1 << 18  # bytes of text scanned at a time
 INDEX_BYTES = 1 << 19  # snippet text of one index
@@ -430,7 +431,7 @@ def _each(it: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa.Record
         yield batch, texts, [covered([(s["first"], s["last"]) for s in x], length) if x else [] for x in spans]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = STAGE_LENGTH, spread: int = SPREAD) -> DataFrame:
     """docs with the repeated bytes cut out of text (what is left of a cut character goes too), n_chars counted anew."""
     user, docs = docs.columns, plain(docs, "doc_id", "source", "text", "n_chars")
     names = docs.columns
