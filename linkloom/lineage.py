@@ -49,7 +49,9 @@ def release(*spent: DataFrame) -> None:
 
 
 def _sorted_parts(df: DataFrame, order: list[str]) -> DataFrame:
-    return cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    ensure_checkpoint_dir(df.sparkSession)
+    parts = df.repartitionByRange(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, *order).sortWithinPartitions(*order)
+    return parts.withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)  # not cut(): partitions must stay in order
 
 
 def with_index(df: DataFrame, order: list[str], name: str = "index") -> DataFrame:
