@@ -21,7 +21,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-FILES_PER_CORE = 4
+FILES_PER_CORE = 2
 
 
 def cut(df: DataFrame) -> DataFrame:
