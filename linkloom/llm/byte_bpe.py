@@ -7,6 +7,7 @@ before are encoded; the vocabulary comes from a ``tokenizers`` JSON file, whose
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 from itertools import chain
 
@@ -16,8 +17,8 @@ import regex
 import tiktoken
 
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
-CACHE_WORDS = 80_000
-CHUNK = 1 << 19  # bytes of text handled by one set of arrays; a longer text is a chunk of its own
+CACHE_WORDS, CACHED_BYTES = 80_000, 64
+CHUNK = 1 << 19  # bytes of text handled by one set of arrays; a longer text is cut between words
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -128,6 +129,17 @@ def word_starts(codes: np.ndarray, kinds: np.ndarray, doc_starts: np.ndarray) ->
     return np.flatnonzero(start)
 
 
+BETWEEN_WORDS = re.compile(rb"(?<=[A-Za-z]) (?=[A-Za-z])")  # a word of the pre-tokenizer begins here, whatever is around
+
+
+def _parts(text: bytes) -> list[bytes]:
+    out, at = [], 0
+    while len(text) - at > CHUNK and (found := BETWEEN_WORDS.search(text, at + CHUNK)):
+        out.append(text[at : found.start()])
+        at = found.start()
+    return [*out, text[at:]]
+
+
 class ByteBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -137,21 +149,22 @@ class ByteBpe:
         ranks = {bytes(alphabet[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
         self.encoding = tiktoken.Encoding("vocabulary", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.classes, self.hasher = Classes(), SpanHasher()
-        self.known: dict[int, list[int]] = {}
+        self.known: dict[bytes, list[int]] = {}
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts laid end to end, and how many each text has."""
-        ids, counts, at = [np.empty(0, np.uint32)], [np.empty(0, np.int64)], 0
-        while at < len(texts):
-            end, size = at + 1, len(texts[at])
-            while end < len(texts) and size + len(texts[end]) <= CHUNK:
-                size += len(texts[end])
+        parts = [(i, x) for i, t in enumerate(texts) for x in _parts(t)]
+        ids, counts, at = [np.empty(0, np.uint32)], np.zeros(len(texts), np.int64), 0
+        while at < len(parts):
+            end, size = at + 1, len(parts[at][1])
+            while end < len(parts) and size + len(parts[end][1]) <= CHUNK:
+                size += len(parts[end][1])
                 end += 1
-            got = self._chunk(texts[at:end])
-            ids.append(got[0])
-            counts.append(got[1])
+            got, n = self._chunk([x for _, x in parts[at:end]])
+            ids.append(got)
+            np.add.at(counts, [i for i, _ in parts[at:end]], n)
             at = end
-        return np.concatenate(ids), np.concatenate(counts)
+        return np.concatenate(ids), counts
 
     def _chunk(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         data = b"".join(texts)
@@ -164,16 +177,16 @@ class ByteBpe:
         doc_starts = np.searchsorted(place, edges)
         starts = word_starts(codes, self.classes(codes), doc_starts)
         ends = np.append(starts[1:], len(codes))
-        word, distinct = pd.factorize(self.hasher(codes, starts, ends))
-        first = np.empty(len(distinct), np.int64)
-        first[word[::-1]] = np.arange(len(word))[::-1]
+        word, first = distinct_spans(np.frombuffer(data, np.uint8), place[starts], place[ends], self.hasher(codes, starts, ends))
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         known, encode, found = self.known, self.encoding._encode_single_piece, []
-        for h, a, b in zip(distinct.tolist(), place[starts[first]].tolist(), place[ends[first]].tolist(), strict=True):
-            ids = known.get(h)
+        for a, b in zip(place[starts[first]].tolist(), place[ends[first]].tolist(), strict=True):
+            ids = known.get(name := data[a:b])
             if ids is None:
-                ids = known[h] = encode(data[a:b])
+                ids = encode(name)
+                if len(name) <= CACHED_BYTES:
+                    known[name] = ids
             found.append(ids)
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))

@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -8,7 +9,8 @@ from tokenizers import Tokenizer
 
 from linkloom.llm import byte_bpe as bpe_module
 from linkloom.llm.byte_bpe import byte_bpe
-from linkloom.llm.packing import best_fit, op5_packing, pack, pack_documents
+from linkloom.llm import packing
+from linkloom.llm.packing import op5_packing, pack, pack_documents, sweep_small
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 BITS = ["'s", "'ll", "'", " ", "  ", "\n", "\t", "\r\n", "a", "Hello", "é", "ñ", "12", "٣", "!?", "...", "<|endoftext|>", " ", "　", "漢字", "😀", "é", "don't", "''", "'re", "\x85", "​", "x'sy", "'S"]
@@ -28,7 +30,7 @@ def texts(n, seed=2):
 
 def test_ids_are_those_of_the_library(plain, monkeypatch):
     monkeypatch.setattr(bpe_module, "CHUNK", 500)
-    sample = texts(3000)
+    sample = [*texts(3000), "Many words of a text, don't cut  it \n here. " * 60]
     ids, counts = byte_bpe(PATH).encode([t.encode() for t in sample])
     ends = np.cumsum(counts)
     for text, a, b in zip(sample, ends - counts, ends, strict=True):
@@ -60,12 +62,27 @@ def least_sequences(counts, capacity):
 def test_best_fit_is_valid_and_tight(capacity):
     rng = random.Random(capacity)
     counts = {rng.randint(1, capacity): rng.randint(1, 300) for _ in range(capacity)}
-    rows = [{"sequence_id": r.sequence + i, "offset": r.offset, "length": r.length} for r in best_fit(counts, capacity) for i in range(r.count)]
+    lengths = [n for n, c in counts.items() for _ in range(c)]
+    big, small = ([n for n in lengths if (n * 2 > capacity) == x] for x in (True, False))
+    rows = [{"sequence_id": k, "offset": 0, "length": n} for k, n in enumerate(big)]
+    rows += [{"sequence_id": g, "offset": o, "length": small[i]} for i, g, o in sweep_small(small, [capacity - n for n in big], capacity)]
     fill = check(rows, capacity)
     assert sorted(r["length"] for r in rows) == sorted(n for n, c in counts.items() for _ in range(c))
     assert len(fill) <= 1.02 * least_sequences(counts, capacity) + 1
 
 
+@pytest.mark.parametrize(("lengths", "capacity"), [(lambda r: r.randint(1, 1024), 1024), (lambda r: r.choice([1, 2, 700]), 1024), (lambda r: 341, 1024), (lambda r: int(1024 * r.random() ** 3) + 1, 1024), (lambda r: r.randint(1, 10), 10)])
+def test_distributed_sweeps_are_valid_and_tight(spark, lengths, capacity, monkeypatch):
+    monkeypatch.setattr(packing, "SMALL", 60)
+    rng = random.Random(capacity)
+    rows = [(i, min(capacity, lengths(rng))) for i in range(900)]
+    got = pack(spark.createDataFrame(rows, "item long, length long").repartition(3), capacity).collect()
+    assert sorted((r["item"], r["length"]) for r in got) == rows
+    fill = check(got, capacity)
+    counts = Counter(n for _, n in rows)
+    assert len(fill) <= 1.02 * least_sequences(counts, capacity) + 1
+
+
 def test_any_table_with_lengths(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice([3, 3, 3, 5, 8, 10])) for i in range(500)]
