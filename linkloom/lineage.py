@@ -22,7 +22,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-FILES_PER_CORE = 2
+FILES_PER_CORE = 2  # of a frame that is written, at least
+FILE_BYTES = 32 << 20  # of what it is made from, for one file more
+
+
+def _read_bytes(df: DataFrame) -> int:
+    """How many bytes the files hold that a frame is made from; checkpoints count as what they are, not as Spark's guess."""
+    total, leaves = 0, df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    for leaf in (leaves.apply(i) for i in range(leaves.size())):
+        kind = leaf.getClass().getSimpleName()
+        if kind == "LogicalRelation":
+            total += int(str(leaf.stats().sizeInBytes()))
+        elif kind == "LogicalRDD" and (file := leaf.rdd().getCheckpointFile()).isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            total += path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return total
+
+
+def files_of(df: DataFrame) -> int:
+    """In how many files a frame is written: in proportion to what it is made from, and a few for each core at least."""
+    return max(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, -(-_read_bytes(df) // FILE_BYTES))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -31,13 +50,13 @@ def cut(df: DataFrame) -> DataFrame:
     Many small partitions become fewer files: every file costs requests to the store, or processes that set its mode.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism).checkpoint(eager=True)
+    return df.coalesce(files_of(df)).checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Like cut(), as a compressed table: for wide rows of which most readers want few columns."""
     folder = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism).write.option("compression", "zstd").parquet(folder)
+    df.coalesce(files_of(df)).write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
@@ -58,7 +77,7 @@ def release(*spent: DataFrame) -> None:
 
 def _sorted_parts(df: DataFrame, order: list[str]) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
-    parts = df.repartitionByRange(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, *order).sortWithinPartitions(*order)
+    parts = df.repartitionByRange(files_of(df), *order).sortWithinPartitions(*order)
     return parts.withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)  # not cut(): partitions must stay in order
 
 
