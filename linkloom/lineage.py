@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from contextlib import suppress
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -44,13 +45,26 @@ def files_of(df: DataFrame) -> int:
     return max(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, -(-_read_bytes(df) // FILE_BYTES))
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, as_it_is: bool = False) -> DataFrame:
     """Materialise in the checkpoint folder and forget how it was made.
 
-    Many small partitions become fewer files: every file costs requests to the store, or processes that set its mode.
+    Many small partitions become fewer files, unless the frame is to be written as it is: every file costs requests to the
+    store, or processes that set its mode.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.coalesce(files_of(df)).checkpoint(eager=True)
+    return (df if as_it_is else df.coalesce(files_of(df))).checkpoint(eager=True)
+
+
+@contextmanager
+def planned_once(spark: SparkSession) -> Iterator[None]:
+    """For long chains of stages whose partitions are chosen already: no new plan after each stage."""
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def stored(df: DataFrame) -> DataFrame:

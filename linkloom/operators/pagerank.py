@@ -1,30 +1,34 @@
 """PageRank in one operator; the presets are its strategies by name.
 
-Edge weights 1/out-degree are computed once and kept partitioned by source. An iteration shuffles the
-contributions once, pre-aggregated per task.
-
-From uniform ranks, iterations run in blocks. With the transition matrix A, damping d and the scalar c
-that every node gets in an iteration (teleport and spread dangling rank), ranks after j iterations of a
-block are ``d^j A^j x + sum_i d^i c_(j-1-i) A^i 1``. So a block only multiplies by A, one small job each,
-and one aggregate over its vectors yields all scalars, and all changes, of the block at once. With given
-ranks or an active set one aggregate per iteration gives the change and the dangling mass together.
+Edge weights 1/out-degree are worked out once and kept partitioned and sorted by source, together with a row
+for each node that leads to itself. So an iteration is one join without a shuffle and one pre-aggregated
+shuffle of contributions, in which the rows of nodes carry what is to be kept; it refers to the ranks once,
+and several iterations make one plan and one job.
+
+What a node gets beside its inflow (teleport and spread dangling rank) is the same scalar c for all that
+move, and an iteration is affine: with y(j+1) = d A y(j) and z(j+1) = d A z(j), from the ranks at the
+beginning and from ones, ranks after j iterations are ``y(j) + sum_i c(j-1-i) z(i)``. So a block of
+iterations runs without knowing its scalars; one aggregate over the vectors yields the dangling mass of
+every iteration of the block, hence all c, and another one all changes. z is worked out in the first block
+only, and from uniform ranks y is a multiple of it. One checkpoint ends a block. A source with very many
+edges is dealt to several tasks, each with a copy of its rank.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.lineage import cut
+from linkloom.lineage import cut, planned_once
 from linkloom.operators.graph import dense_nodes, node_count
 
 DAMPING = 0.85
 MAX_ITERATIONS = 100
-UNROLL = 3  # iterations in one plan where nothing is measured in between
-BLOCK = 8  # iterations of a block; half as many where each one's change is wanted
+BLOCK = 10  # iterations of a block; half as many where each one's change is wanted
+HUB_EDGES = 1 << 20  # out of one node that one task takes
 
 
 @dataclass
@@ -37,9 +41,36 @@ class Ranking:
     converged: bool = False
 
 
-def weighted(edges: DataFrame) -> DataFrame:
+def weighted(edges: DataFrame, nodes: DataFrame, hub_edges: int = HUB_EDGES, feeds: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (src, slot, dst, w) by source: the edges (of feeds, all count for the weights) and, without a weight, each node to
+    itself; and the hubs (src, slots), if any, whose edges are dealt to slots."""
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    return edges.join(degree, "src").select("src", "dst", (1.0 / F.col("deg")).alias("w"))
+    out = (edges if feeds is None else feeds).join(degree, "src").select("src", F.lit(0).alias("slot"), "dst", (1.0 / F.col("deg")).alias("w"))
+    own = nodes.select(F.col("node_id").alias("src"), F.lit(0).alias("slot"), F.col("node_id").alias("dst"), F.lit(None).cast("double").alias("w"))
+    hubs = degree.filter(F.col("deg") > hub_edges).select("src", F.ceil(F.col("deg") / hub_edges).cast("int").alias("slots"))
+    if hubs.isEmpty():
+        return out.unionByName(own).repartition(parts, "src").sortWithinPartitions("src"), None
+    hubs = cut(hubs)
+    out = out.drop("slot").join(hubs, "src", "left").withColumn("slot", F.coalesce(F.pmod(F.xxhash64("dst"), F.col("slots")).cast("int"), F.lit(0)))
+    return out.select("src", "slot", "dst", "w").unionByName(own).repartition(parts, "src", "slot").sortWithinPartitions("src", "slot"), hubs
+
+
+def _step(links: DataFrame, hubs: DataFrame | None, state: DataFrame, kept: list[str], chains: dict[str, str], damping: float) -> DataFrame:
+    """state with the next column of each chain (new: from); of the others only those to be kept stay."""
+    ranks = state.withColumnRenamed("node_id", "src")
+    on = ["src"]
+    if hubs is not None:
+        slots = F.sequence(F.lit(0), F.coalesce("slots", F.lit(1)) - 1)
+        ranks, on = ranks.join(hubs, "src", "left").withColumn("slot", F.explode(slots)).drop("slots"), ["src", "slot"]
+    own = F.col("w").isNull()
+    needed = list(dict.fromkeys([*kept, *chains.values()]))
+    met = links.join(ranks, on).select(F.col("dst").alias("node_id"), *(F.when(~own, F.col("w") * F.col(c)).alias(f"{new} in") for new, c in chains.items()), *(F.when(own, F.col(c)).alias(c) for c in needed))
+    wide = met.groupBy("node_id").agg(*(F.sum(f"{new} in").alias(f"{new} in") for new in chains), *(F.max(c).alias(c) for c in needed))
+    moved = {new: damping * F.coalesce(F.col(f"{new} in"), F.lit(0.0)) for new in chains}
+    if "moves" in kept:
+        moved = {new: F.when(F.col("moves"), x).otherwise(F.col(chains[new]) if new[0] == "y" else F.lit(0.0)) for new, x in moved.items()}
+    return wide.select("node_id", *kept, *(x.alias(new) for new, x in moved.items()))
 
 
 def pagerank(
@@ -54,6 +85,7 @@ def pagerank(
     min_iter: int = 1,
     init: DataFrame | None = None,
     active: DataFrame | None = None,
+    hub_edges: int = HUB_EDGES,
 ) -> Ranking:
     """Rank nodes by their in-links; repeated edges count as often as they occur.
 
@@ -73,94 +105,78 @@ def pagerank(
         return Ranking(nodes.select("node_id", F.lit(0.0).alias("rank")), 0)
     teleport = (1 - damping) / n
     links = edges.select("src", "dst").join(nodes.select(F.col("node_id").alias("dst")), "dst", "left_semi")
-    out = weighted(links).persist()
-    if init is None and active is None:
-        try:
-            return _in_blocks(out, nodes, n, damping, dangling == "redistribute", max_iter, tol, min_iter)
-        finally:
-            out.unpersist()
-    sources = links.select(F.col("src").alias("node_id")).distinct()
-    state = nodes.select("node_id").join(sources.withColumn("has", F.lit(1)), "node_id", "left").select("node_id", F.col("has").isNull().alias("sink"))
-    state = state.join(init.select("node_id", "rank"), "node_id", "left") if init is not None else state.withColumn("rank", F.lit(1.0 / n))
-    state = state.withColumn("rank", F.coalesce("rank", F.lit(teleport)))
-    state = state.join(active.select("node_id", F.lit(True).alias("moves")), "node_id", "left").fillna(False, ["moves"]) if active is not None else state.withColumn("moves", F.lit(True))
-    state = cut(state)
-    feeds = out.join(active.select(F.col("node_id").alias("dst")), "dst", "left_semi").persist() if active is not None else out
-
-    mass, any_sink = state.filter("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0)), F.count(F.lit(1))).first()
-    spreads = dangling == "redistribute" and any_sink > 0
-    deltas: list[float] = []
-    done, since_cut, converged = 0, 0, False
-    while done < max_iter and not converged:
-        inflow = feeds.join(state.select(F.col("node_id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("rank") * F.col("w")).alias("inflow"))
-        extra = teleport + (damping * mass / n if spreads else 0.0)
-        new = F.lit(extra) + damping * F.coalesce("inflow", F.lit(0.0))
-        moved = state.select("node_id", "sink", "moves", F.col("rank").alias("old")).join(inflow, "node_id", "left")
-        state = moved.select("node_id", "sink", "moves", F.when(F.col("moves"), new).otherwise(F.col("old")).alias("rank"), "old")
-        done, since_cut = done + 1, since_cut + 1
-        measure = tol is not None or spreads
-        if measure or since_cut == UNROLL or done == max_iter:
-            state, since_cut = cut(state), 0
-        if measure and (tol is not None or done < max_iter):
-            change = F.sum(F.when(F.col("moves"), F.abs(F.col("rank") - F.col("old"))))
-            delta, mass = state.agg(F.coalesce(change, F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0))).first()
-            deltas.append(delta)
-            converged = tol is not None and delta < tol and done >= min_iter
-        state = state.drop("old")
-    for kept in {id(out): out, id(feeds): feeds}.values():
-        kept.unpersist()
-    return Ranking(state.select("node_id", "rank"), done, deltas, converged)
-
-
-def _in_blocks(out: DataFrame, nodes: DataFrame, n: int, damping: float, spreads: bool, max_iter: int, tol: float | None, min_iter: int) -> Ranking:
-    nodes = cut(nodes.select("node_id"))
-    sinks = cut(nodes.join(out.select(F.col("src").alias("node_id")), "node_id", "left_anti"))
-    spreads = spreads and not sinks.isEmpty()
-    teleport, size = (1 - damping) / n, BLOCK if tol is None else BLOCK // 2
-    start = nodes.withColumn("v", F.lit(1.0 / n))
-    ones: list[DataFrame] = []  # A^i times the vector of ones, from the first block
+    uniform = init is None and active is None
+    feeds = None if active is None else links.join(active.select(F.col("node_id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    out, hubs = weighted(links, nodes, hub_edges, feeds)
+    out = out.persist(StorageLevel.MEMORY_AND_DISK)
+    spreads = dangling == "redistribute"
+    state = nodes.select("node_id", F.lit(1.0).alias("z0"))
+    flags = []
+    if spreads:
+        sources = links.select(F.col("src").alias("node_id"), F.lit(False).alias("sink")).distinct()
+        state, flags = state.join(sources, "node_id", "left").fillna(True, ["sink"]), ["sink"]
+    if not uniform:
+        state = state.withColumn("y0", F.lit(1.0 / n)) if init is None else state.join(init.select("node_id", F.col("rank").alias("y0")), "node_id", "left").fillna(teleport, ["y0"])
+    if active is not None:
+        state = state.join(active.select("node_id", F.lit(True).alias("moves")), "node_id", "left").fillna(False, ["moves"]).withColumn("z0", F.when(F.col("moves"), 1.0).otherwise(0.0))
+        flags.append("moves")
+    try:
+        return _blocks(out, hubs, cut(state), flags, uniform, n, damping, teleport, spreads, max_iter, tol, min_iter)
+    finally:
+        out.unpersist()
+
+
+def _blocks(out: DataFrame, hubs: DataFrame | None, state: DataFrame, flags: list[str], uniform: bool, n: int, damping: float, teleport: float, spreads: bool, max_iter: int, tol: float | None, min_iter: int) -> Ranking:
+    size = BLOCK if tol is None else BLOCK // 2
+    ones: DataFrame | None = None  # z(0) to z(size - 1) by node, from the first block
     ones_mass: list[float] = []
     deltas: list[float] = []
     done = 0
+    ranks = state.select("node_id", F.lit(1.0 / n).alias("rank")) if uniform else state.select("node_id", F.col("y0").alias("rank"))
     while done < max_iter:
         m = min(size, max_iter - done)
-        vectors = [start]
-        for _ in range(m):
-            step = out.join(vectors[-1].select(F.col("node_id").alias("src"), "v"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-            vectors.append(cut(step))
-        mass = [0.0] * m
-        if spreads:
-            tagged = reduce(DataFrame.unionAll, [v.select("node_id", "v", F.lit(j).alias("j")) for j, v in enumerate(vectors[:m])])
-            for row in tagged.join(sinks, "node_id", "left_semi").groupBy("j").agg(F.sum("v").alias("mass")).collect():  # a row for each iteration of the block
-                mass[row["j"]] = row["mass"]
-        if not ones:
-            ones = [v.select("node_id", (F.col("v") * n).alias("v")) for v in vectors[:m]]
-            ones_mass = [x * n for x in mass]
-        shared: list[float] = []  # what every node gets in each iteration
+        first, plain = ones is None, ones is None and uniform  # plain: y(j) is z(j)/n
         for j in range(m):
-            held = damping**j * mass[j] + sum(damping**i * shared[j - 1 - i] * ones_mass[i] for i in range(j))
-            shared.append(teleport + (damping * held / n if spreads else 0.0))
-        parts = [(f"v{j}", v) for j, v in enumerate(vectors)] + [(f"u{i}", ones[i]) for i in range(m)]
-        rows = reduce(DataFrame.unionAll, [v.select("node_id", "v", F.lit(name).alias("of")) for name, v in parts])
-        wide = rows.groupBy("node_id").agg(*(F.coalesce(F.sum(F.when(F.col("of") == name, F.col("v"))), F.lit(0.0)).alias(name) for name, _ in parts))
+            chains = ({} if plain else {f"y{j + 1}": f"y{j}"}) | ({f"z{j + 1}": f"z{j}"} if first else {})
+            names = [*flags, *([] if plain else [f"y{i}" for i in range(j + 1)]), *([f"z{i}" for i in range(j + 1)] if first else [])]
+            state = _step(out, hubs, state, names, chains, damping)
+        with planned_once(out.sparkSession):
+            wide = cut(state if first else state.join(ones, "node_id"), as_it_is=True)
+        y = [F.col(f"z{j}") / n if plain else F.col(f"y{j}") for j in range(m + 1)]
+        if first:
+            ones = wide.select("node_id", *(f"z{i}" for i in range(m)))
+        shared: list[float] = []  # c of each iteration
+        if spreads:
+            names = [f"y{j}" for j in range(m)] * (not plain) + [f"z{i}" for i in range(m)] * first
+            got = wide.filter("sink").agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in names)).first()
+            ones_mass = [got[f"z{i}"] for i in range(m)] if first else ones_mass
+            for j in range(m):
+                mass = ones_mass[j] / n if plain else got[f"y{j}"]
+                mass += sum(shared[j - 1 - i] * ones_mass[i] for i in range(j))
+                shared.append(teleport + damping * mass / n)
+        else:
+            shared = [teleport] * m
 
         def ranks_after(j: int) -> Column:
-            total = damping**j * F.col(f"v{j}")
+            total = y[j]  # noqa: B023
             for i in range(j):
-                total = total + damping**i * shared[j - 1 - i] * F.col(f"u{i}")  # noqa: B023
+                total = total + shared[j - 1 - i] * F.col(f"z{i}")  # noqa: B023
             return total
 
-        if tol is None:
-            start, done = cut(wide.select("node_id", ranks_after(m).alias("v"))), done + m
-            continue
-        after = cut(wide.select("node_id", *(ranks_after(j).alias(f"x{j}") for j in range(m + 1))))
-        changes = after.agg(*(F.sum(F.abs(F.col(f"x{j + 1}") - F.col(f"x{j}"))).alias(f"d{j}") for j in range(m))).first()
-        for j in range(m):
-            deltas.append(changes[j])
-            if changes[j] < tol and done + j + 1 >= min_iter:
-                return Ranking(after.select("node_id", F.col(f"x{j + 1}").alias("rank")), done + j + 1, deltas, True)
-        start, done = after.select("node_id", F.col(f"x{m}").alias("v")), done + m
-    return Ranking(start.select("node_id", F.col("v").alias("rank")), done, deltas, False)
+        if tol is not None:
+            wide = cut(wide.select("node_id", *flags, *(ranks_after(j).alias(f"x{j}") for j in range(m + 1))))
+            changes = wide.agg(*(F.coalesce(F.sum(F.abs(F.col(f"x{j + 1}") - F.col(f"x{j}"))), F.lit(0.0)).alias(f"d{j}") for j in range(m))).first()
+            for j in range(m):
+                deltas.append(changes[j])
+                if changes[j] < tol and done + j + 1 >= min_iter:
+                    return Ranking(wide.select("node_id", F.col(f"x{j + 1}").alias("rank")), done + j + 1, deltas, True)
+            now = F.col(f"x{m}")
+        else:
+            now = ranks_after(m)
+        done += m
+        ranks = wide.select("node_id", now.alias("rank"))
+        state = wide.select("node_id", *flags, now.alias("y0"))
+    return Ranking(ranks, done, deltas, False)
 
 
 #: The named strategies. Where work happens (threads, locks, buffers) is Spark's business and has no
