@@ -18,7 +18,7 @@ PACKED = 7  # symbols of 9 bits that the first sort compares
 
 
 def sorted_suffixes(codes: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Suffix array of codes 0 (separator) and 1..256; a suffix ends at its separator, equal ones go by place.
+    """Suffix array of codes 0 (separator) and 1..256; a suffix ends at its separator, equal ones are in any order.
 
     With a depth, suffixes that agree in so many symbols may stay in any order."""
     n = len(codes)
@@ -29,7 +29,7 @@ def sorted_suffixes(codes: np.ndarray, depth: int | None = None) -> np.ndarray:
         here = padded[k : k + n]
         key = (key << np.uint64(9)) | np.where(open_, here, 0).astype(np.uint64)
         open_ &= here != 0
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     fresh = np.ones(n, bool)
     fresh[1:] = (key[order[1:]] != key[order[:-1]]) | ~open_[order[1:]]
     rank = np.empty(n, np.int64)
