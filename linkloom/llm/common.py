@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkloom.lineage import cut, ensure_checkpoint_dir, release
@@ -23,6 +23,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == HELD_OUT_BUCKET, F.lit(False))
 
 
+def bounded_sample(rows: DataFrame, most: int, max_bytes: int) -> DataFrame:
+    """The first rows by _draw (and text): so many at most, whose texts have together no more than so many bytes."""
+    order = [F.col("_draw"), F.xxhash64("text")]
+    first = rows.withColumn("_size", F.octet_length("text")).orderBy(*order).limit(most)
+    upto = F.sum("_size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))  # over `most` rows
+    return first.withColumn("_upto", upto).filter(F.col("_upto") <= max_bytes).drop("_size", "_upto")
+
+
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -3,13 +3,15 @@
 Features are TF-IDF weights of hashed character n-grams (1 to 4 letters, lower case, words bounded by a
 blank). Document frequencies come from all documents that may be learned from, in one distributed pass.
 The weights are trained with follow-the-regularised-leader (per-coordinate rates, elastic net), which
-leaves most of them zero, on a sample of at most about ``sample_rows`` labelled documents, spread evenly
-over the languages and drawn by hash; a part of the sample that is not trained on sets the temperature
-that calibrates the scores.
+leaves most of them zero, on a sample of ``sample_rows`` labelled documents at most, with SAMPLE_BYTES of
+text at most, spread evenly over the languages and drawn by hash; a part of the sample that is not trained
+on sets the temperature that calibrates the scores.
 
 Defined cases: a null text or one without letters is ``und`` with score 0, as is every text where there
-is nothing to learn from; a null doc_id is not held out; repeated rows stay repeated; other columns are
-ignored; an empty table gives no rows.
+is nothing to learn from; a null doc_id is not held out; repeated rows stay repeated, but are drawn once;
+of equal scores the language first in the alphabet is named; the n-grams of a very long text are counted in
+parts, all of them; more than MAX_LANGUAGES languages are refused with an error; other columns are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,16 +25,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm.byte_bpe import LETTER, Classes, mixed
-from linkloom.llm.common import held_out, table
+from linkloom.llm.common import bounded_sample, held_out, table
 from linkloom.llm.packing import _portions
 from linkloom.llm.shingles import mix
 
 FEATURES = 1 << 15
 GRAMS = (1, 2, 3, 4)
 SAMPLE_ROWS = 4000
+SAMPLE_BYTES = 64 << 20  # of the sample's texts together
+MAX_LANGUAGES = 512  # weights are FEATURES by languages, on the driver and sent to every task
 EPOCHS = 3
 CALIBRATION_SHARE = 5  # one document of so many
 UNKNOWN = "und"
+PART = 1 << 18  # n-grams of a long text that are hashed at a time
 GRAM_MIX = mixed(np.arange(100, 100 + len(GRAMS) + 1)) | np.uint64(1)
 _classes = Classes()
 
@@ -49,24 +54,34 @@ def counts_of(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for t in texts:
             yield from counts_of([t.replace("\0", " ")])
         return
+    if len(texts) == 1 and len(codes) > PART:
+        yield _sparse(sum(np.bincount(np.concatenate(_grams(codes[a : min(a + PART + max(GRAMS) - 1, len(codes) - 1)], PART)), minlength=FEATURES) for a in range(0, len(codes) - 1, PART)), codes)
+        return
+    found = _grams(codes, len(codes))
+    start = 0
+    for end in ends.tolist():
+        total = np.bincount(np.concatenate([f[start : max(start, end - n + 1)] for n, f in zip(GRAMS, found, strict=True)]), minlength=FEATURES)
+        yield _sparse(total, codes[start:end])
+        start = end + 1
+
+
+def _grams(codes: np.ndarray, starts: int) -> list[np.ndarray]:
+    """Features of the n-grams that begin at the first so many places, for each n."""
     hashes = mixed(codes)
     found = []
     for n in GRAMS:
-        m = max(0, len(codes) - n + 1)
+        m = min(starts, max(0, len(codes) - n + 1))
         with np.errstate(over="ignore"):
             h = np.full(m, GRAM_MIX[n])
             for k in range(n):
                 h = mix(h * GRAM_MIX[1] + hashes[k : k + m])
         found.append((h >> np.uint64(64 - 15)).astype(np.int64))
-    start = 0
-    for end in ends.tolist():
-        if (codes[start:end] > 32).any():
-            total = np.bincount(np.concatenate([f[start : max(start, end - n + 1)] for n, f in zip(GRAMS, found, strict=True)]), minlength=FEATURES)
-            at = np.flatnonzero(total)
-            yield at, total[at]
-        else:
-            yield np.empty(0, np.int64), np.empty(0, np.int64)
-        start = end + 1
+    return found
+
+
+def _sparse(total: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.flatnonzero(total) if (codes > 32).any() else np.empty(0, np.int64)
+    return at, total[at]
 
 
 def weights_of(at: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -121,6 +136,8 @@ class LanguageModel:
 def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray, epochs: int = EPOCHS) -> LanguageModel:
     """Train on (language, features, counts) rows in a fixed order; every fifth calibrates."""
     languages = sorted({r[0] for r in rows})
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"{len(languages)} languages; {MAX_LANGUAGES} at most")
     number = {l: i for i, l in enumerate(languages)}
     data = [(at, weights_of(at, count, idf), number[l]) for l, at, count in rows if len(at)]
     few = len(data) < 10 * CALIBRATION_SHARE
@@ -170,7 +187,9 @@ def learn_languages(docs: DataFrame, learnable, sample_rows: int = SAMPLE_ROWS)
     share = F.lit(float(sample_rows)) / F.col("_n") / F.col("_langs")
     quota = sizes.crossJoin(F.broadcast(sizes.agg(F.count(F.lit(1)).alias("_langs")))).select("lang", share.alias("_share"))
     draw = (F.xxhash64(F.lit("draw"), "doc_id", "text").bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)).alias("_draw")
-    sample = rows.select("doc_id", "lang", "text", draw).join(F.broadcast(quota), "lang").filter("_draw < _share").select("text", "lang", "_draw")
+    sample = rows.select("doc_id", "lang", "text", draw).join(F.broadcast(quota), "lang").filter("_draw < _share")
+    sample = bounded_sample(sample.dropDuplicates(["doc_id", "lang", "text"]), sample_rows, SAMPLE_BYTES).select("text", "lang", "_draw")
+    sample = sample.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism)  # the limit has left one partition
     schema = pa.schema([("lang", pa.string()), ("draw", pa.float64()), ("at", pa.list_(pa.int32())), ("count", pa.list_(pa.int32()))])
 
     def sampled(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,14 +6,15 @@ stretch of a dozen words is the mean of its words, and a linear softmax tells to
 document's score is that of its most toxic stretch: a few insults decide, however long the text is.
 Embeddings and softmax are trained together, first on all stretches, then on the stretch that decides.
 
-Training takes a sample of at most about ``sample_rows`` labelled documents (half of them toxic, as far
-as there are, none over ``sample_bytes``), drawn by hash. A part of it that is not trained on calibrates
+Training takes a sample of ``sample_rows`` labelled documents at most (half of them toxic, as far as there
+are), with SAMPLE_BYTES of text at most, drawn by hash. A part of it that is not trained on calibrates
 the score, corrected for the share of toxic labels among all that may be learned from.
 
 Defined cases: a null or empty text, or one without words, gets the score of the bare bias, as does every
 text where there is nothing to learn from; a null doc_id is not held out; a document with several labels
-is toxic if one says so; repeated rows stay repeated; other columns are ignored; an empty table gives no
-rows.
+is toxic if one says so; repeated rows stay repeated, but are drawn once; equal stretches score alike, so
+ties do not matter; the words of a very long text are looked up in parts, all of them; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm.byte_bpe import mixed
-from linkloom.llm.common import held_out, table
+from linkloom.llm.common import bounded_sample, held_out, table
 from linkloom.llm.packing import _portions
 from linkloom.llm.shingles import LOWER, cut_words, mix
 
@@ -37,7 +38,8 @@ WIDTH = 10
 GRAMS = (3, 4, 5)
 STRETCH = 12  # words
 SAMPLE_ROWS = 4000
-SAMPLE_BYTES = 1 << 18
+SAMPLE_BYTES = 64 << 20  # of the sample's texts together
+PIECE = 1 << 19  # bytes of a long text whose words are looked up at a time
 EPOCHS = 6
 THRESHOLD = 0.3
 CALIBRATION_SHARE = 5
@@ -116,8 +118,8 @@ class ToxicityModel:
         size = np.diff(np.append(begin, len(buckets)))
         return np.add.reduceat(self.embeddings[buckets], begin, axis=0) / size[:, None]
 
-    def margins(self, texts: list[bytes]) -> np.ndarray:
-        """For each text the largest difference of logits of its stretches; the bias of a text without words."""
+    def word_values(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The difference of logits of every word, and for each text (and the end) the number of words before it."""
         words = Words(texts)
         direction = self.softmax[:, 1] - self.softmax[:, 0]
         if len(self.known) > CACHE_WORDS:
@@ -126,18 +128,37 @@ class ToxicityModel:
         new = np.array([i for i, h in enumerate(hashes) if h not in self.known], np.int64)
         if len(new):
             self.known.update(zip((hashes[i] for i in new.tolist()), (self.word_vectors(*words.subwords(new)) @ direction).tolist(), strict=True))
-        value = np.array([self.known[h] for h in hashes])
+        return np.array([self.known[h] for h in hashes])[words.word] if hashes else np.empty(0), words.first
+
+    def margins(self, texts: list[bytes]) -> np.ndarray:
+        """For each text the largest difference of logits of its stretches; the bias of a text without words."""
+        if len(texts) == 1 and len(texts[0]) > PIECE:
+            value = np.concatenate([self.word_values([x])[0] for x in _pieces(texts[0])])
+            first = np.array([0, len(value)])
+        else:
+            value, first = self.word_values(texts)
         out = np.full(len(texts), -np.inf)
-        starts, text = stretches(words.first)
+        starts, text = stretches(first)
         if len(starts):
-            size = np.diff(np.append(starts, len(words.word)))
-            np.maximum.at(out, text, np.add.reduceat(value[words.word], starts) / size)
+            size = np.diff(np.append(starts, len(value)))
+            np.maximum.at(out, text, np.add.reduceat(value, starts) / size)
         return np.where(np.isinf(out), 0.0, out) + self.bias[1] - self.bias[0]
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.margins(texts) + self.shift, -50, 50)))
 
 
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A text cut between words."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        while end < len(text) and not PART[text[end]]:
+            end += 1
+        yield text[at:end]
+        at = end
+
+
 def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.3) -> ToxicityModel:
     """Embeddings and softmax together, by gradients scaled per row."""
     rng = np.random.default_rng(11)
@@ -222,7 +243,9 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, learnable, sample_rows: i
     share = {t: min(1.0, half / n) for t, n in counts.items()}
     draw = F.xxhash64(F.lit("draw"), "doc_id").bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
     chosen = known.withColumn("_draw", draw).filter(F.when(F.col("toxic") == 1, F.col("_draw") < share.get(1, 0.0)).otherwise(F.col("_draw") < share.get(0, 0.0)))
-    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(chosen), "doc_id").select("_draw", "text", "toxic").toArrow()
+    chosen = chosen.orderBy("_draw", "doc_id").limit(sample_rows)
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"])
+    rows = bounded_sample(rows, sample_rows, SAMPLE_BYTES).select("_draw", "text", "toxic").toArrow()
     order = np.argsort(rows.column("_draw").to_numpy(), kind="stable")
     texts = [t.encode() for t in rows.column("text").take(pa.array(order)).to_pylist()]
     toxic = rows.column("toxic").to_numpy()[order]
