@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm.byte_bpe import LETTER, Classes, mixed
-from linkloom.llm.common import bounded_sample, held_out, table
+from linkloom.llm.common import bounded_sample, held_out, lean, table
 from linkloom.llm.packing import _portions
 from linkloom.llm.shingles import mix
 
@@ -177,7 +177,7 @@ def learn_languages(docs: DataFrame, learnable, sample_rows: int = SAMPLE_ROWS)
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["feature", "n"])
 
-    df = rows.select("text").mapInArrow(frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()  # FEATURES rows at most
+    df = rows.select("text").mapInArrow(lean(frequencies), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()  # FEATURES rows at most
     feature, n = df.column("feature").to_numpy(), df.column("n").to_numpy()
     seen = np.zeros(FEATURES)
     seen[feature[feature >= 0]] = n[feature >= 0]
@@ -196,7 +196,7 @@ def learn_languages(docs: DataFrame, learnable, sample_rows: int = SAMPLE_ROWS)
         for batch, a, b, found in _features(it, 0):
             yield pa.record_batch([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.int32()))], schema=schema)
 
-    got = sample.mapInArrow(sampled, "lang string, draw double, at array<int>, count array<int>").toArrow()
+    got = sample.mapInArrow(lean(sampled), "lang string, draw double, at array<int>, count array<int>").toArrow()
     order = np.argsort(got.column("draw").to_numpy(), kind="stable")
     langs, ats, counts = got.column("lang").to_pylist(), got.column("at"), got.column("count")
     return fit([(langs[i], ats[i].values.to_numpy(), counts[i].values.to_numpy()) for i in order.tolist()], idf)
@@ -213,7 +213,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
             said = [known.predict(at, count) for at, count in found]
             yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

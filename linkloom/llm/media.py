@@ -22,7 +22,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm.common import batches, table, utf8_rows
+from linkloom.llm.common import batches, lean, table, utf8_rows
 
 # Fixed values of the MPEG-1 Layer III frame header.
 KBPS = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
@@ -177,7 +177,7 @@ def to_mpeg_audio(docs: DataFrame) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches(((i, len(t or b""), write_stream(t or b"")) for x in it for i, t in utf8_rows(x)), schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, STREAMS)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), STREAMS)
 
 
 def read_mpeg_audio(streams: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def read_mpeg_audio(streams: DataFrame) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches(rows(it), schema)
 
-    return streams.select("doc_id", "n_bytes", "media").mapInArrow(run, READ)
+    return streams.select("doc_id", "n_bytes", "media").mapInArrow(lean(run), READ)
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import batches, cut, drop_rows, in_bitmap, keep_rows, key_bitmap, plain, release, row_keys, table
+from linkloom.llm.common import batches, cut, drop_rows, in_bitmap, keep_rows, key_bitmap, lean, plain, release, row_keys, table
 from linkloom.llm.components import components
 from linkloom.llm.packing import _portions
 from linkloom.llm.shingles import COORDINATES, band_keys, fingerprint, shingle_sets, sketch
@@ -88,7 +88,7 @@ def sketched(docs: DataFrame, bands: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches(rows(it), schema)
 
-    return row_keys(docs).select("text", "doc_id", "_k1", "_k2").mapInArrow(run, "doc_id long, _k1 long, _k2 long, n_shingles long, node binary, keys array<long>")
+    return row_keys(docs).select("text", "doc_id", "_k1", "_k2").mapInArrow(lean(run), "doc_id long, _k1 long, _k2 long, n_shingles long, node binary, keys array<long>")
 
 
 def sets_of(docs: DataFrame, base: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def sets_of(docs: DataFrame, base: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches(rows(it), schema, 2048, 1 << 20)
 
-    found = row_keys(docs).select("text", "_k1").mapInArrow(run, "node binary, shingles binary")
+    found = row_keys(docs).select("text", "_k1").mapInArrow(lean(run), "node binary, shingles binary")
     return found.join(chosen.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -156,7 +156,7 @@ def with_leaders(docs: DataFrame, base: DataFrame, members: DataFrame, min_perce
             yield pa.record_batch([kept.column("leader"), kept.column("node")], names=["a", "b"])
 
     order = ["leader", "salt"]
-    links = cut(rows.repartition(*order).sortWithinPartitions(*order, "member").mapInArrow(run, "a binary, b binary"))
+    links = cut(rows.repartition(*order).sortWithinPartitions(*order, "member").mapInArrow(lean(run), "a binary, b binary"))
     release(sets, pairs, leaders)
     return links
 
@@ -171,7 +171,7 @@ def supported(sets: DataFrame, hot: DataFrame) -> DataFrame:
                 shingle, n = np.unique(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64), return_counts=True)
                 yield pa.record_batch([pa.array(shingle), pa.array(n)], names=["shingle", "n"])
 
-    common = cut(own.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 1").select("shingle"))
+    common = cut(own.mapInArrow(lean(count), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 1").select("shingle"))
     sent = key_bitmap(common, "shingle")
     release(common)
 
@@ -180,7 +180,7 @@ def supported(sets: DataFrame, hot: DataFrame) -> DataFrame:
             support = [int(in_bitmap(sent.value, np.frombuffer(x, np.int64)).sum()) for x in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0).cast(pa.binary()), pa.array(support, pa.int64())], names=["node", "support"])
 
-    return own.mapInArrow(run, "node binary, support long")
+    return own.mapInArrow(lean(run), "node binary, support long")
 
 
 def links_between(left: list[tuple], right: list[tuple] | None, min_percent: int) -> Iterator[tuple[bytes, bytes]]:
@@ -268,7 +268,7 @@ def within_buckets(docs: DataFrame, base: DataFrame, members: DataFrame, labels:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches(found(it), schema)
 
-    links = cut(rows.mapInArrow(run, "a binary, b binary"))
+    links = cut(rows.mapInArrow(lean(run), "a binary, b binary"))
     release(labelled, mixed, nodes, sets)
     return links
 

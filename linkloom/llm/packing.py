@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm.byte_bpe import byte_bpe
-from linkloom.llm.common import batches, cut, table
+from linkloom.llm.common import batches, cut, lean, table
 from linkloom.lineage import stored, with_prefix_sum
 
 CAPACITY = 1024
@@ -66,7 +66,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
                         start, k = end, k + 1
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), PIECES)
 
 
 def _portions(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -135,7 +135,7 @@ def _bundles(left: DataFrame, size: int, capacity: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches(rows(it), schema)
 
-    return left.select("_piece", "length").mapInArrow(run, "length long, pieces array<long>")
+    return left.select("_piece", "length").mapInArrow(lean(run), "length long, pieces array<long>")
 
 
 def _sweep(left: DataFrame, gaps: DataFrame, bundle: int, capacity: int) -> DataFrame:
@@ -199,7 +199,7 @@ def _one_range(left: DataFrame, gaps: DataFrame, capacity: int, opened: int) ->
         ids = [numbers[split + g] if g < there else -1 - opened - (g - there) for _, g, _ in met]
         yield pa.record_batch([pa.array([numbers[i] for i, _, _ in met], pa.int64()), pa.array(ids, pa.int64()), pa.array([o for _, _, o in met], pa.int64())], names=["_piece", "sequence_id", "offset"])
 
-    return rows.repartition(1).mapInArrow(run, "_piece long, sequence_id long, offset long")
+    return rows.repartition(1).mapInArrow(lean(run), "_piece long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import batches, cut, drop_rows, in_bitmap, keep_rows, key_bitmap, plain, row_keys, table
+from linkloom.llm.common import batches, cut, drop_rows, in_bitmap, keep_rows, key_bitmap, lean, plain, row_keys, table
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -100,7 +100,7 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 def quality_report(docs: DataFrame, min_docs: int = MIN_DOCS, max_share_percent: float = MAX_SHARE_PERCENT, max_removed_percent: float = MAX_REMOVED_PERCENT) -> DataFrame:
     """One row per document row: doc_id, the five counts, base_failed, n_removed_words, kept, the row's _k1 and _k2, and removed_lines (hashes)."""
     keyed = row_keys(docs.select("doc_id", "text", "source"))
-    lines = docs.select("text", "source").mapInArrow(_count_scan, "line long")
+    lines = docs.select("text", "source").mapInArrow(lean(_count_scan), "line long")
     often = cut(lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_docs).select("line"))
     sent = key_bitmap(often, "line")
 
@@ -119,7 +119,7 @@ def quality_report(docs: DataFrame, min_docs: int = MIN_DOCS, max_share_percent:
         yield from batches(rows(it), schema)
 
     ddl = "doc_id long, _k1 long, _k2 long, _fp long, _host long, " + ", ".join(f"{m} long" for m in MEASURES) + ", _lines array<long>, _words array<long>"
-    base = cut(keyed.select("text", "source", "doc_id", "_k1", "_k2", F.xxhash64("text").alias("_fp"), F.xxhash64("source").alias("_host")).mapInArrow(scan, ddl))
+    base = cut(keyed.select("text", "source", "doc_id", "_k1", "_k2", F.xxhash64("text").alias("_fp"), F.xxhash64("source").alias("_host")).mapInArrow(lean(scan), ddl))
 
     held = base.select("_k1", "_k2", "_fp", "_host", F.explode(F.arrays_zip("_lines", "_words")).alias("x"))
     held = held.select("_k1", "_k2", "_fp", "_host", F.col("x._lines").alias("line"), F.col("x._words").alias("words"))
@@ -158,7 +158,7 @@ def keep_good(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
             columns[place] = pa.array(clean, pa.binary()).cast(columns[place].type)
             yield pa.record_batch(columns, names=names)
 
-    held = keep_rows(docs, verdicts.filter("kept").select("_k1", "_k2", "removed_lines")).mapInArrow(run, schema)
+    held = keep_rows(docs, verdicts.filter("kept").select("_k1", "_k2", "removed_lines")).mapInArrow(lean(run), schema)
     if "n_chars" in names:
         held = held.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
     return good.unionByName(held).toDF(*user)

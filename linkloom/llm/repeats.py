@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm.byte_bpe import BASE, mixed
-from linkloom.llm.common import batches, cut, in_bitmap, key_bitmap, plain, row_keys, table
+from linkloom.llm.common import batches, cut, in_bitmap, key_bitmap, lean, plain, row_keys, table
 from linkloom.llm.packing import _portions
 from linkloom.llm.runindex import RunIndex
 from linkloom.llm.shingles import _Powers, mix
@@ -164,7 +164,7 @@ def snippets(docs: DataFrame, length: int, spread: int) -> DataFrame:
             keys = zip(scan.minimizer.tolist(), (scan.digests(every) if len(every) else every).tolist(), strict=True)
             yield pa.record_batch([pa.array([k[0] for k in keys if copies.before(k, 80)[0] < 2], pa.int64())], names=["minimizer"])
 
-    counts = docs.select("text").mapInArrow(count, "minimizer long").groupBy("minimizer").agg(F.count(F.lit(1)).alias("n"))
+    counts = docs.select("text").mapInArrow(lean(count), "minimizer long").groupBy("minimizer").agg(F.count(F.lit(1)).alias("n"))
     often = cut(counts.filter("n > 1"))
     sent = key_bitmap(often, "minimizer")
     schema = pa.schema([("minimizer", pa.int64()), ("kind", pa.int32()), ("rep", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int64()), ("windows", pa.int32()), ("digest", pa.int64()), ("bytes", pa.binary())])
@@ -183,7 +183,7 @@ def snippets(docs: DataFrame, length: int, spread: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches(rows(it), schema, 4096, 2 << 20)
 
-    found = row_keys(docs.select("doc_id", "source", "text")).select("text", "_k1", "_k2").mapInArrow(run, SNIPPETS)
+    found = row_keys(docs.select("doc_id", "source", "text")).select("text", "_k1", "_k2").mapInArrow(lean(run), SNIPPETS)
     heavy = often.filter(F.col("n") > spread).select("minimizer", F.ceil(F.col("n") / spread).cast("int").alias("parts"))
     parts = found.join(heavy, "minimizer", "left")
     further = F.col("kind") == FURTHER
@@ -273,7 +273,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches(marks(it), schema, 4096, 2 << 20)
 
-    found = cut(rows.mapInArrow(run, FOUND))
+    found = cut(rows.mapInArrow(lean(run), FOUND))
     spans = found.filter("k1 is not null and last is not null").select("k1", "k2", "first", "last")
     verdicts = found.filter("k1 is null and rep is not null").select("rep", F.col("first").alias("a"), F.col("last").alias("b"))
     copies = found.filter("k1 is not null and rep is not null").select("rep", "k1", "k2", "first").join(verdicts, "rep")
@@ -328,8 +328,8 @@ def _across(texts: DataFrame, length: int) -> DataFrame:
         if held:
             yield twice_in(held)
 
-    by_bucket = texts.select("bytes").mapInArrow(dealt, "bucket long, prints binary").repartition("bucket").sortWithinPartitions("bucket")
-    twice = cut(by_bucket.mapInArrow(repeated, "print long"))
+    by_bucket = texts.select("bytes").mapInArrow(lean(dealt), "bucket long, prints binary").repartition("bucket").sortWithinPartitions("bucket")
+    twice = cut(by_bucket.mapInArrow(lean(repeated), "print long"))
     sent = key_bitmap(twice, "print")
     schema = pa.schema([("print", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int64()), ("bytes", pa.binary())])
 
@@ -366,9 +366,9 @@ def _across(texts: DataFrame, length: int) -> DataFrame:
 
         yield from batches(rows(), pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int64())]), 4096)
 
-    late = texts.mapInArrow(near, "print long, k1 long, k2 long, first long, bytes binary").join(twice, "print", "left_semi")
+    late = texts.mapInArrow(lean(near), "print long, k1 long, k2 long, first long, bytes binary").join(twice, "print", "left_semi")
     late = late.repartition("print").sortWithinPartitions("print").select("print", "k1", "k2", "first", "bytes")
-    return late.mapInArrow(run, "k1 long, k2 long, first long").select("k1", "k2", "first", F.col("first").alias("last"))
+    return late.mapInArrow(lean(run), "k1 long, k2 long, first long").select("k1", "k2", "first", F.col("first").alias("last"))
 
 
 def window_prints(text: bytes, length: int) -> np.ndarray:
@@ -400,10 +400,10 @@ def without(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def with_ranges(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD) -> DataFrame:
-    """docs with column ranges: array of (start, end), the byte ranges to remove.
+def with_spans(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs that lose nothing, and others with column spans: the runs of windows (first, last) that go, or null.
 
-    Documents without any are told by a bitmap and pass without a shuffle.
+    Documents that surely lose nothing are told by a bitmap and pass without a shuffle.
     """
     windows = cut(repeated_windows(docs, length, spread))
     spans = windows.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.struct("first", "last").alias("s")).groupBy("_k1", "_k2").agg(F.collect_set("s").alias("spans"))
@@ -418,10 +418,8 @@ def with_ranges(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD) ->
 
         return run
 
-    kind = "array<struct<first:bigint,last:bigint>>"
-    clear = keyed.mapInArrow(side(False), keyed.schema).withColumn("spans", F.lit(None).cast(kind))
-    maybe = keyed.mapInArrow(side(True), keyed.schema).join(spans, ["_k1", "_k2"], "left")
-    return clear.unionByName(maybe).drop("_k1", "_k2")
+    clear = keyed.mapInArrow(lean(side(False)), keyed.schema).drop("_k1", "_k2")
+    return clear, keyed.mapInArrow(lean(side(True)), keyed.schema).join(spans, ["_k1", "_k2"], "left").drop("_k1", "_k2")
 
 
 def _each(it: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa.RecordBatch, list[bytes | None], list[list]]]:
@@ -435,7 +433,7 @@ def remove_repeats(docs: DataFrame, length: int = STAGE_LENGTH, spread: int = SP
     """docs with the repeated bytes cut out of text (what is left of a cut character goes too), n_chars counted anew."""
     user, docs = docs.columns, plain(docs, "doc_id", "source", "text", "n_chars")
     names = docs.columns
-    marked = with_ranges(docs, length, spread)
+    clear, hit = with_spans(docs, length, spread)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts, ranges in _each(it, length):
@@ -443,7 +441,7 @@ def remove_repeats(docs: DataFrame, length: int = STAGE_LENGTH, spread: int = SP
             columns = [pa.array(clean, pa.binary()).cast(batch.schema.field(n).type) if n == "text" else batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.record_batch(columns, names=names)
 
-    out = marked.mapInArrow(run, docs.schema)
+    out = clear.unionByName(hit.mapInArrow(lean(run), docs.schema))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.toDF(*user)
@@ -462,8 +460,10 @@ def repeat_report(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD) -
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches(rows(it), schema)
 
-    marked = with_ranges(docs.select("doc_id", "source", "text"), length, spread).select("doc_id", "text", "spans")
-    return marked.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    clear, hit = with_spans(docs.select("doc_id", "source", "text"), length, spread)
+    text, nothing = F.coalesce("text", F.lit("")), F.lit(0).cast("long")
+    whole = clear.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), nothing.alias("n_removed"), nothing.alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"))
+    return whole.unionByName(hit.select("doc_id", "text", "spans").mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

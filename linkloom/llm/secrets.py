@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm.automaton import Scanner, compile_rules
-from linkloom.llm.common import batches, table, utf8_rows
+from linkloom.llm.common import batches, lean, table, utf8_rows
 
 
 class Rule(NamedTuple):
@@ -121,7 +121,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches(rows(it), schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def redact_text(scan: Scanner, data: bytes, mark: bytes = b"<secret>") -> bytes:
@@ -155,7 +155,7 @@ def redact(docs: DataFrame) -> DataFrame:
             columns[place] = pa.array(clean, pa.binary()).cast(column.type)
             yield pa.record_batch(columns, schema=batch.schema)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(lean(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 

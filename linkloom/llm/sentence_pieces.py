@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm.byte_bpe import SpanHasher, distinct_spans, mixed
-from linkloom.llm.common import batches, table
+from linkloom.llm.common import batches, lean, table
 from linkloom.llm.packing import _portions
 from linkloom.llm.runindex import sorted_suffixes
 
@@ -477,7 +477,7 @@ def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
                 gone = pa.array([t is None for t in texts[a:b]])
                 yield pa.record_batch([pa.array(doc_ids[a:b], pa.int64()), pa.ListArray.from_arrays(pa.array(edges), pa.array(ids), mask=gone)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, ids array<int>")
 
 
 def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
@@ -490,7 +490,7 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
             texts = [None if ids is None else pieces.decode(ids).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(1).cast(pa.list_(pa.int32())), pa.array(texts, pa.string())], schema=schema)
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, ids array<int>, text string")
 
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
@@ -510,7 +510,7 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
         for batch in batches(rows(it), schema):
             yield batch.set_column(3, "text", batch.column(3).cast(pa.string()))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, text string")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_ids long, ids_crc32 long, text string")
 
 
 def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

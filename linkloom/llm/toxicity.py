@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm.byte_bpe import mixed
-from linkloom.llm.common import bounded_sample, held_out, table
+from linkloom.llm.common import bounded_sample, held_out, lean, table
 from linkloom.llm.packing import _portions
 from linkloom.llm.shingles import LOWER, cut_words, mix
 
@@ -273,7 +273,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             for a, b in _portions(texts):
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(known.scores(texts[a:b]))], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, score double")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
