@@ -24,4 +24,5 @@ def truncated(text: Column, most: int) -> Column:
 
 
 def local_timestamp() -> Column:
+    """Now, in the session's time zone, as manifests write it."""
     return F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")

@@ -11,10 +11,11 @@ from linkloom.operators.pagerank import run_preset, top_k
 
 FOUR = ("centralized_fixed", "centralized_convergence", "distributed_fixed", "distributed_convergence")
 CENTRALIZED_LIMIT = 500_000
+TOP = 5
 
 
 def compare_strategies(edges: DataFrame, *, n: int | None = None, iterations: int = 10, threshold: float = 1e-4, strategies: tuple[str, ...] = FOUR, limit: int = CENTRALIZED_LIMIT) -> DataFrame:
-    """strategy, time_ms, iterations, final_diff, top_node, speedup, agrees: one row each.
+    """strategy, time_ms, iterations, final_diff, top_node, top (the TOP first nodes and their ranks), speedup, agrees: one row each.
 
     Centralized strategies are skipped (nulls) beyond a number of nodes. speedup is against the slowest;
     agrees tells whether the top node is that of the first strategy that ran.
@@ -22,13 +23,13 @@ def compare_strategies(edges: DataFrame, *, n: int | None = None, iterations: in
     rows = []
     for name in strategies:
         if name.startswith("centralized") and n is not None and n > limit:
-            rows.append((name, None, None, None, None))
+            rows.append((name, None, None, None, None, None))
             continue
         began = time.perf_counter()
         got = run_preset(name, edges, n=n, **({"iterations": iterations, "tol": 0.0} if name.endswith("fixed") else {"threshold": threshold}))
-        best = top_k(got.ranks, 1).first()
-        rows.append((name, 1000 * (time.perf_counter() - began), got.iterations, got.deltas[-1] if got.deltas else None, best["node_id"] if best else None))
-    table = edges.sparkSession.createDataFrame(rows, "strategy string, time_ms double, iterations int, final_diff double, top_node long")
+        best = [tuple(r) for r in top_k(got.ranks.select("node_id", "rank"), TOP).collect()]
+        rows.append((name, 1000 * (time.perf_counter() - began), got.iterations, got.deltas[-1] if got.deltas else None, best[0][0] if best else None, best))
+    table = edges.sparkSession.createDataFrame(rows, "strategy string, time_ms double, iterations int, final_diff double, top_node long, top array<struct<node_id:long,rank:double>>")
     everything = Window.partitionBy()
     return table.withColumn("speedup", F.max("time_ms").over(everything) / F.col("time_ms")).withColumn("agrees", F.col("top_node") == F.first("top_node", ignorenulls=True).over(everything))
 

@@ -96,12 +96,15 @@ def pagerank(
     """
     if dangling not in ("redistribute", "drop"):
         raise ValueError(f"unknown treatment of dangling nodes: {dangling}")
+    edges = edges.select("src", "dst").persist(StorageLevel.MEMORY_AND_DISK)
     if nodes is None:
         n = node_count(edges) if n is None else n
         nodes = dense_nodes(edges, n)
-    elif n is None:
-        n = nodes.count()
+    else:
+        nodes = nodes.select("node_id").persist(StorageLevel.MEMORY_AND_DISK)
+        n = nodes.count() if n is None else n
     if not n:
+        edges.unpersist()
         return Ranking(nodes.select("node_id", F.lit(0.0).alias("rank")), 0)
     teleport = (1 - damping) / n
     links = edges.select("src", "dst").join(nodes.select(F.col("node_id").alias("dst")), "dst", "left_semi")
@@ -123,7 +126,8 @@ def pagerank(
     try:
         return _blocks(out, hubs, cut(state), flags, uniform, n, damping, teleport, spreads, max_iter, tol, min_iter)
     finally:
-        out.unpersist()
+        for spent in (out, edges, nodes):
+            spent.unpersist()
 
 
 def _blocks(out: DataFrame, hubs: DataFrame | None, state: DataFrame, flags: list[str], uniform: bool, n: int, damping: float, teleport: float, spreads: bool, max_iter: int, tol: float | None, min_iter: int) -> Ranking:

@@ -32,10 +32,6 @@ def domain(url: Column) -> Column:
     return F.substring(F.regexp_extract(url, r"^(?:.*?://)?([^/]*)", 1), 1, MAX_DOMAIN_CHARS)
 
 
-def allowed_depth(depth: Column, policy: CrawlPolicy) -> Column:
-    return depth <= policy.max_depth
-
-
 def on_seed_domains(urls: DataFrame, seeds: DataFrame, url: str = "url") -> DataFrame:
     """Rows whose URL lies on a domain of the seeds."""
     domains = seeds.select(F.lower(domain(F.col("url"))).alias("_domain")).distinct()
@@ -55,7 +51,9 @@ def header_content_type(headers: Column) -> Column:
 
 
 def capped_body(body: Column, limit: int = MAX_BODY) -> Column:
-    return F.substring(body, 1, limit)
+    """The first bytes of a body, so many at most; what is left of a cut character becomes a replacement character."""
+    cut = F.make_valid_utf8(F.substring(body.cast("binary"), 1, limit).cast("string"))
+    return F.when(F.octet_length(body) > limit, cut).otherwise(body)
 
 
 def outcome_of_status(code: Column) -> Column:
@@ -71,10 +69,17 @@ def outcome_of_status(code: Column) -> Column:
     )
 
 
-def outcome(code: Column, content_type: Column) -> Column:
-    """Outcome of a fetch; a page that is no HTML is skipped."""
+def outcome(code: Column, content_type: Column, error: Column | None = None) -> Column:
+    """Outcome of a fetch; a page that is no HTML is skipped.
+
+    error, if any, goes before the status: "timeout" and "connect" are a TIMEOUT, "truncated" (the body was cut at its
+    limit) is no error, and anything else is an ERROR.
+    """
     status = outcome_of_status(code)
-    return F.when((status == "OK") & ~is_html(content_type), "CONTENT_SKIP").otherwise(status)
+    by_status = F.when((status == "OK") & ~is_html(content_type), "CONTENT_SKIP").otherwise(status)
+    if error is None:
+        return by_status
+    return F.when(error.isin("timeout", "connect"), "TIMEOUT").when(error.isNotNull() & (error != "truncated"), "ERROR").otherwise(by_status)
 
 
 def state_after(outcome_: Column) -> Column:

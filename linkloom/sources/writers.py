@@ -18,6 +18,27 @@ def url_map_lines(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.concat(F.col("node_id").cast("string"), F.lit(": "), F.col("url")).alias("value"))
 
 
+def converted(spark, vertices: str, edges: str, folder: str) -> tuple[int, int]:
+    """A vertex file and an edge file as adjacency lists, edge list and URL map in a folder; the numbers of nodes and edges."""
+    from linkloom.operators.graph import adjacency as lists_of
+    from linkloom.sources.readers import read_vertex_edge
+
+    nodes, pairs = read_vertex_edge(spark, vertices, edges)
+    top = nodes.agg(F.max("node_id")).first()[0]
+    n = 0 if top is None else top + 1
+    pairs = pairs.cache()
+    count = pairs.count()
+    save_graph(lists_of(spark.range(n).withColumnRenamed("id", "node_id"), pairs), f"{folder}/graph.adj", "adjacency", ["Graph for PageRank (Adjacency List Format)", f"Nodes: {n}", f"Edges: {count}", "Format: node_id: outlink_id1,outlink_id2,...", ""])
+    save_graph(pairs, f"{folder}/graph.edge", "edgelist", ["Edge list format: src dst", f"Total edges: {count}", ""])
+    save_lines(url_map_lines(synthetic_urls(n, spark)), f"{folder}/url_map")
+    pairs.unpersist()
+    return n, count
+
+
+def offset_url_map_lines(nodes: DataFrame, offset: int) -> DataFrame:
+    return url_map_lines(nodes.withColumn("node_id", F.col("node_id") + offset))
+
+
 def synthetic_urls(n: int, spark) -> DataFrame:
     """node_id, url for graphs that come without URLs."""
     return spark.range(n).select(F.col("id").alias("node_id"), F.format_string("http://graph500-node-%d.synthetic/", F.col("id")).alias("url"))
@@ -60,6 +81,11 @@ def save_key_values(spark, path: str, values: dict[str, object], mode: str = "ov
 
 
 def strategy_report(results: DataFrame) -> DataFrame:
-    """The comparison as text lines; a skipped strategy says so."""
+    """The comparison as text lines, with the first nodes by rank where results have them (column top: node_id, rank); a skipped
+    strategy says so."""
     ran = F.format_string("%s | %.2f | %d | %s | %.2fx", "strategy", "time_ms", "iterations", F.coalesce(F.format_string("%.4e", "final_diff"), F.lit("-")), "speedup")
-    return results.select(F.when(F.col("time_ms").isNull(), F.concat("strategy", F.lit(" | SKIPPED"))).otherwise(ran).alias("value"))
+    line = F.when(F.col("time_ms").isNull(), F.concat("strategy", F.lit(" | SKIPPED"))).otherwise(ran)
+    if "top" not in results.columns:
+        return results.select(line.alias("value"))
+    top = F.transform(F.coalesce("top", F.array()), lambda x: F.format_string("    node_%d: %.12f", x["node_id"], x["rank"]))
+    return results.select(F.explode(F.concat(F.array(line), top)).alias("value"))
