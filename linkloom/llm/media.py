@@ -7,8 +7,8 @@ CRC-16 over its header and side information. The reader resynchronises on frame
 between frames is skipped, and derives exact durations and the byte offset of every frame.
 
 Defined cases: a null text is empty; the payload is padded with zero bytes to a positive multiple of
-64; equal texts give equal streams; repeated rows stay repeated; other columns are ignored; an empty
-table gives no rows.
+64; equal texts give equal streams, so ties cannot arise; repeated rows stay repeated; a very long text is
+one stream of as many frames as it takes, whole; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -187,30 +187,41 @@ def read_mpeg_audio(streams: DataFrame) -> DataFrame:
         + [("frame_offsets", pa.list_(pa.int64())), ("vbr_frames", pa.int64()), ("bad_crc", pa.int64()), ("whole", pa.bool_()), ("feature", pa.string())]
     )
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches((_read_row(*row) for x in it for row in zip(*(c.to_pylist() for c in x.columns), strict=True)), schema)
+
+    return streams.select("doc_id", "n_bytes", "media").mapInArrow(lean(run), READ)
+
+
+def _read_row(doc_id: int | None, n: int, media: bytes) -> tuple:
+    r = read_stream(media)
+    seek = struct.pack(f">{len(r['offsets'])}Q", *r["offsets"])
+    feature = (
+        f"mpeg1-l3 frames={len(r['offsets'])} vbr_frames={r['vbr_frames']} vbr_bytes={r['vbr_bytes']} samples={r['samples']} rate={r['rate']} "
+        f"ms={r['samples'] * 1000 // max(1, r['rate'])} bad_crc={r['bad_crc']} skipped={r['skipped']} whole={int(r['whole'])} "
+        f"first={r['offsets'][0] if r['offsets'] else -1} seek_crc32={zlib.crc32(seek)} toc_crc32={zlib.crc32(r['toc'])}"
+    )
+    return doc_id, n, r["payload"], len(media), hashlib.sha256(media).hexdigest(), r["samples"], r["rate"], r["offsets"], r["vbr_frames"], r["bad_crc"], r["whole"], feature
+
+
+def stored_digests(docs: DataFrame) -> DataFrame:
+    """Digests of each text's stream and of what is read back from its bytes; both steps in one task, so streams stay there."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for x in it:
-            for doc_id, n, media in zip(*(c.to_pylist() for c in x.columns), strict=True):
-                r = read_stream(media)
-                seek = struct.pack(f">{len(r['offsets'])}Q", *r["offsets"])
-                feature = (
-                    f"mpeg1-l3 frames={len(r['offsets'])} vbr_frames={r['vbr_frames']} vbr_bytes={r['vbr_bytes']} samples={r['samples']} rate={r['rate']} "
-                    f"ms={r['samples'] * 1000 // max(1, r['rate'])} bad_crc={r['bad_crc']} skipped={r['skipped']} whole={int(r['whole'])} "
-                    f"first={r['offsets'][0] if r['offsets'] else -1} seek_crc32={zlib.crc32(seek)} toc_crc32={zlib.crc32(r['toc'])}"
-                )
-                yield doc_id, n, r["payload"], len(media), hashlib.sha256(media).hexdigest(), r["samples"], r["rate"], r["offsets"], r["vbr_frames"], r["bad_crc"], r["whole"], feature
+        for batch in it:
+            for doc_id, text in utf8_rows(batch):
+                _, n, payload, size, digest, *_, feature = _read_row(doc_id, len(text or b""), write_stream(text or b""))
+                yield doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), size, digest, feature
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches(rows(it), schema)
 
-    return streams.select("doc_id", "n_bytes", "media").mapInArrow(lean(run), READ)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = read_mpeg_audio(to_mpeg_audio(table(spark, sf_dir, "documents")))
-    return read.selectExpr(
-        "doc_id", "n_bytes", "CAST(length(payload) AS BIGINT) AS payload_bytes", "sha2(payload, 256) AS payload_sha256",
-        "crc32(substring(payload, -64, 64)) AS tail_crc32", "media_bytes", "media_sha256", "feature",
-    )
+    return stored_digests(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op10_media": op10_media}

@@ -6,8 +6,10 @@ match's start and longest end looked up, with small automata of that rule. Match
 leftmost, longest and do not overlap; those that fail the rule's least length are dropped after that.
 The rule for private keys ends with the BEGIN line; its span is then carried on over the key.
 
-Defined cases: a null or empty text has no spans; spans are code points, end exclusive; repeated rows
-stay repeated; other columns are ignored; an empty table gives no rows.
+Defined cases: a null or empty text has no spans; spans are code points, end exclusive; spans that begin at
+one place stand in the order of the rules; repeated rows stay repeated; a very long text is scanned whole
+in one pass; other columns are ignored (find_secrets) or kept as they are (redact); an empty table gives
+no rows.
 """
 
 from __future__ import annotations

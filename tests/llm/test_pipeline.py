@@ -31,3 +31,23 @@ def test_stages_take_effect(spark, tmp_path):
     assert {r["doc_id"] for r in packed} == set(kept[3]) and sum(r["length"] for r in packed) > 0
     digest = lambda rows: hashlib.sha256(repr(sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in rows)).encode()).hexdigest()
     assert digest(packed) == digest(corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+
+def test_defined_cases_pass_all_stages(spark, tmp_path):
+    rng = random.Random(8)
+    text = lambda n=80: " ".join(f"{rng.randrange(1 << 40):x}" for _ in range(n))
+    copy = text()
+    rows = [(1, copy, "s", 7, 1, 2), (1, copy, "s", 7, 1, 2), (None, text(), None, None, 3, 4), (2, None, "s", 7, 5, 6), (3, "", "s", 7, 5, 6), (4, text(9000), "s", 7, 8, 9)]
+    schema = "doc_id long, text string, source string, spans int, _k1 long, node long"
+    docs = spark.createDataFrame(rows, schema)
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        empty = stage(spark, docs.limit(0), "")
+        assert empty.count() == 0
+        out = stage(spark, docs, "")
+        if number < 4:
+            assert out.columns == docs.columns
+            out.write.parquet(f"{tmp_path}/{number}")
+            docs = spark.read.parquet(f"{tmp_path}/{number}")
+            assert {r["_k1"]: (r["spans"], r["node"]) for r in docs.collect()} == {1: (7, 2), 3: (None, 4), 8: (7, 9)}
+        else:
+            assert {r["doc_id"] for r in out.collect()} == {1, 4, None} and out.filter("doc_id = 4").count() > 10
