@@ -4,6 +4,11 @@ Each stage takes what its predecessor kept, and each but the last returns the co
 documents that fail the quality rules go, and boilerplate lines go from the others; of each group of
 near-duplicates one stays; byte strings that the rest holds more than once are cut out; secrets are
 replaced; what is left is tokenized and packed.
+
+Defined cases, as in the operators: a null text fails the quality rules; of repeated rows one stays; a
+document whose whole text is cut packs as its closing token; equal rows, null ids and hosts, texts of any
+length and further columns of any name pass all stages, and those columns are kept up to packing; an
+empty table gives no rows. Every stage's rows are deleted once the next one's are written.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from linkloom.lineage import remove_folder
 from linkloom.llm.common import ensure_checkpoint_dir, small_batches
 from linkloom.llm.near_dups import keep_one_each
 from linkloom.llm.packing import pack_documents
@@ -56,13 +62,14 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed sequences of the table documents; each stage's rows are written to the shared folder and read again."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{number}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if number:
+            remove_folder(spark, f"{folder}/{number - 1}")
     return docs
 
 
