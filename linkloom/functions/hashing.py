@@ -32,6 +32,15 @@ def string_hash(text: str, modulus: int | None = None) -> int:
     return h % modulus if modulus else h
 
 
+def string_hash_of(text: Column) -> Column:
+    """string_hash of a column, as decimal(20,0); bytes of the lower-case text, all in the JVM."""
+    kind = "decimal(20,0)"
+    size = F.octet_length(F.lower(text))
+    byte = lambda i: F.conv(F.hex(F.substring(F.lower(text).cast("binary"), i, F.lit(1))), 16, 10).cast(kind)
+    bytes_ = F.when(size > 0, F.transform(F.sequence(F.lit(1), size), byte)).otherwise(F.array().cast(f"array<{kind}>"))
+    return F.aggregate(bytes_, F.lit(5381).cast(kind), lambda h, b: ((h * 33 + b) % F.lit(str(1 << 64)).cast("decimal(38,0)")).cast(kind))
+
+
 @F.pandas_udf(DecimalType(20, 0))
 def list_hash_of(urls: pd.Series) -> pd.Series:
     return urls.map(lambda u: Decimal(list_hash(list(u))))

@@ -373,13 +373,20 @@ def rank_text_round_trip(spark, sf_dir):
     return rounded(readers.read_ranks(spark, path), 9)
 
 
-STRATEGY_SQL = "('centralized_fixed', 10), ('distributed_fixed', 10)"
+DELTAS = "deltas AS (" + " UNION ALL ".join(f"SELECT {i + 1} AS i, (SELECT sum(abs(b.r - a.r)) FROM r{i} a JOIN r{i + 1} b USING (node_id)) AS delta" for i in range(10)) + ")"
 
 
-@query(f"WITH {EVENTS}, {rank_steps(10, True)}, top AS (SELECT node_id FROM r10 ORDER BY round(r, 12) DESC, node_id LIMIT 1) SELECT s.strategy, s.iterations, top.node_id AS top_node, true AS agrees FROM (VALUES {STRATEGY_SQL}) s(strategy, iterations), top")
+def _top_sql(steps: str) -> str:
+    return f"(SELECT node_id FROM {steps} ORDER BY round(r, 12) DESC, node_id LIMIT 1)"
+
+
+@query(f"""WITH {EVENTS}, {rank_steps(10, True)}, {DELTAS}, stop AS (SELECT min(i) AS k FROM deltas WHERE delta < 1e-4),
+tops AS ({" UNION ALL ".join(f"SELECT {i} AS i, {_top_sql(f'r{i}')} AS top FROM nn" for i in range(1, 11))}),
+s AS (SELECT name AS strategy, CASE WHEN ends_with(name, 'fixed') THEN 10 ELSE k END AS iterations FROM stop, (VALUES ('centralized_fixed'), ('centralized_convergence'), ('distributed_fixed'), ('distributed_convergence')) v(name))
+SELECT strategy, iterations, top AS top_node, top = (SELECT top FROM tops WHERE i = 10) AS agrees FROM s JOIN tops ON i = iterations""")
 def strategy_compare(spark, sf_dir):
     edges = event_graph(spark, sf_dir)
-    got = compare.compare_strategies(edges, n=graph.node_count(edges), strategies=("centralized_fixed", "distributed_fixed"))
+    got = compare.compare_strategies(edges, n=graph.node_count(edges), strategies=compare.FOUR)
     return got.select("strategy", "iterations", "top_node", "agrees")
 
 
@@ -433,7 +440,12 @@ def full_vs_incremental(spark, sf_dir):
 # Runs and streams ----------------------------------------------------------------------------------
 
 
-@query("SELECT 'small' AS profile, '11731404830899694292' AS hash UNION ALL SELECT 'large', '418818369127468153'")
+def _seed_rows() -> str:
+    return ", ".join(f"('{name}', [{', '.join(repr(u) for u in PROFILES[name])}])" for name in ("small", "large"))
+
+
+@query(f"""WITH p(profile, urls) AS (VALUES {_seed_rows()}), c AS (SELECT profile, list_transform(string_split(array_to_string(urls, chr(10)) || chr(10), ''), lambda x: ascii(x)::HUGEINT) AS codes FROM p)
+SELECT profile, list_reduce(list_prepend(1469598103934665603::HUGEINT, codes), lambda h, x: (xor(h, x) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)::VARCHAR AS hash FROM c""")
 def manifest_hash(spark, sf_dir):
     """Hashes of the built-in seed lists."""
     rows = spark.createDataFrame([(k, list(PROFILES[k])) for k in ("small", "large")], "profile string, urls array<string>")
@@ -452,11 +464,13 @@ def stream_url_dedup(spark, sf_dir):
     return frontier.drain(frontier.unseen(frontier.link_stream(_page_stream(spark, sf_dir)))).select("url_key")
 
 
-@query(f"WITH {LINKS} SELECT lower(link) AS url_key, 'FETCHING' AS state, 2::BIGINT AS changes FROM links GROUP BY 1")
+@query(f"WITH {LINKS} SELECT lower(link) AS url_key, CASE WHEN bool_or(page_id % 3 = 2) THEN 'FAILED' ELSE 'DONE' END AS state, 3::BIGINT AS changes FROM links GROUP BY 1")
 def stream_url_states(spark, sf_dir):
-    """Where the URLs of a stream stand after they were pushed (as often as they are linked) and popped."""
-    found = frontier.link_stream(_page_stream(spark, sf_dir))
-    events = found.select("url", F.posexplode(F.array(F.lit("PUSH"), F.lit("POP"))).alias("at", "event"))
+    """Where the URLs of a stream stand after they were pushed (as often as they are linked), popped and fetched; the page
+    that links decides what the fetch comes to, and of several results the first in the alphabet."""
+    pages = _page_stream(spark, sf_dir).withColumn("result", F.element_at(F.array(F.lit("OK"), F.lit("REDIRECT"), F.lit("FAIL")), (F.col("page_id") % 3 + 1).cast("int")))
+    found = pages.select(F.explode(links.crawlable_links(F.coalesce("html", F.lit("")))).alias("url"), "result")
+    events = found.select("url", F.posexplode(F.array(F.lit("PUSH"), F.lit("POP"), F.col("result"))).alias("at", "event"))
     latest = frontier.drain(frontier.url_states(events), "update")
     return latest.groupBy("url_key").agg(F.max_by(F.struct("state", "changes"), "batch").alias("s")).select("url_key", "s.state", "s.changes")
 

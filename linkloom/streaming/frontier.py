@@ -38,12 +38,13 @@ def unseen(urls: DataFrame, ttl: str | None = None, time: str | None = None) ->
 
 
 def url_states(events: DataFrame) -> DataFrame:
-    """A stream of events (url, event, at) to url_key, state, changes: where each URL stands after a batch, events in order of at."""
+    """A stream of events (url, event, at) to url_key, state, changes: where each URL stands after a batch, events in order of
+    at, those of one time by name."""
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now, changes = state.get if state.exists else ("UNSEEN", 0)
-        events = pd.concat(list(frames)).sort_values("at")
-        for event in events["event"]:
+        events = pd.concat(list(frames)).drop_duplicates(["at", "event"]).sort_values(["at", "event"])
+        for event in events["event"].to_numpy():
             after = TRANSITIONS.get((now, event))
             if after:
                 now, changes = after, changes + 1
