@@ -133,11 +133,13 @@ def pages_per_domain(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(F.lower(policy.domain(F.col("url"))).alias("domain")).agg(F.count(F.lit(1)).alias("n_pages"))
 
 
-@query(rf"WITH {LINKS}, absolute AS (SELECT page_id, pos, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || link AS url FROM links WHERE starts_with(link, '/') AND NOT starts_with(link, '//')) SELECT page_id, pos, url FROM absolute WHERE lower({DOMAIN_SQL}) IN (SELECT lower({DOMAIN_SQL}) FROM pages)")
+@query(rf"""WITH {LINKS}, parts AS (SELECT page_id, pos, link, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) AS scheme, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS root, regexp_replace(url, '[?#].*$', '') AS plain FROM links),
+absolute AS (SELECT page_id, pos, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN link WHEN starts_with(link, '//') THEN scheme || link WHEN starts_with(link, '/') THEN root || link
+  WHEN starts_with(link, '?') THEN plain || link WHEN plain = root THEN root || '/' || link ELSE regexp_replace(plain, '[^/]*$', '') || link END AS url FROM parts)
+SELECT page_id, pos, url FROM absolute WHERE lower({DOMAIN_SQL}) IN (SELECT lower({DOMAIN_SQL}) FROM pages)""")
 def same_domain_links(spark, sf_dir):
-    """Root-relative links made absolute, on the domains of the crawled pages."""
-    found = page_links(spark, sf_dir).filter(F.col("link").startswith("/") & ~F.col("link").startswith("//"))
-    absolute = found.select("page_id", F.col("pos").cast("long").alias("pos"), links.resolve(F.col("url"), F.col("link")).alias("url"))
+    """All links made absolute that lie on the domains of the crawled pages."""
+    absolute = page_links(spark, sf_dir).select("page_id", F.col("pos").cast("long").alias("pos"), links.resolve(F.col("url"), F.col("link")).alias("url"))
     return policy.on_seed_domains(absolute, table(spark, sf_dir, "pages").select("url"))
 
 

@@ -56,7 +56,7 @@ def fetch(url: str, user_agent: str, max_bytes: int = MAX_BYTES) -> dict:
         out["outcome"] = outcome_of(answer.status, out["content_type"])
         if out["outcome"] == "OK":
             out["html"] = bytes(body[:max_bytes]).decode("utf-8", "replace")
-    except (TimeoutError, socket.timeout):
+    except (TimeoutError, socket.timeout, ConnectionRefusedError):  # no connection counts as a timeout
         out["outcome"] = "TIMEOUT"
     except ssl.SSLError:
         out["outcome"] = "SSL_ERROR"

@@ -96,6 +96,6 @@ def server():
 def test_live_fetches(spark, server):
     urls = spark.createDataFrame([(server + p,) for p in ("/ok", "/zip", "/png", "/move", "/busy", "/none")] + [("http://127.0.0.1:1/",), ("nonsense",)], "url string")
     got = {r["url"].replace(server, ""): r for r in live.fetch_urls(urls, parallelism=2).collect()}
-    assert {k: r["outcome"] for k, r in got.items()} == {"/ok": "OK", "/zip": "OK", "/png": "CONTENT_SKIP", "/move": "REDIRECT", "/busy": "SERVER_ERROR", "/none": "NOT_FOUND", "http://127.0.0.1:1/": "ERROR", "nonsense": "ERROR"}
+    assert {k: r["outcome"] for k, r in got.items()} == {"/ok": "OK", "/zip": "OK", "/png": "CONTENT_SKIP", "/move": "REDIRECT", "/busy": "SERVER_ERROR", "/none": "NOT_FOUND", "http://127.0.0.1:1/": "TIMEOUT", "nonsense": "ERROR"}
     assert got["/ok"]["html"] == "é<a href=x>" and got["/zip"]["html"] == "z" * 1000 and got["/move"]["location"] == "/ok"
     assert len(live.fetch(server + "/zip", "x", 10)["html"]) == 10
