@@ -14,14 +14,24 @@ from __future__ import annotations
 
 import numpy as np
 
-PACKED = 7  # symbols of 9 bits that the first sort compares
+PACKED = 7  # symbols of 9 bits that the first sort compares where bytes may be zero; eight bytes otherwise
 
 
-def sorted_suffixes(codes: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Suffix array of codes 0 (separator) and 1..256; a suffix ends at its separator, equal ones are in any order.
-
-    With a depth, suffixes that agree in so many symbols may stay in any order."""
+def _first_symbols(codes: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many symbols from each place on a key holds, the keys, and which suffixes go on beyond their key."""
     n = len(codes)
+    if not (codes == 1).any():  # no zero bytes in the texts: zero can stand for what lies beyond a separator
+        raw = np.concatenate([np.where(codes > 0, codes - 1, 0).astype(np.uint8), np.zeros(8, np.uint8)]).tobytes()
+        key = np.ndarray((n,), ">u8", raw, strides=(1,)).astype(np.uint64)
+        ends = np.flatnonzero(codes == 0)
+        near = np.maximum(ends[:, None] - np.arange(8), -1)  # places less than eight symbols before a separator
+        own = near >= np.concatenate([[0], ends[:-1] + 1])[:, None]
+        place, room = near[own], np.broadcast_to(np.arange(8), near.shape)[own]
+        shift = (8 * (8 - np.maximum(room, 1))).astype(np.uint64)
+        key[place] = np.where(room > 0, (key[place] >> shift) << shift, np.uint64(0))
+        open_ = np.ones(n, bool)
+        open_[place] = False
+        return 8, key, open_
     key = np.zeros(n, np.uint64)
     open_ = np.ones(n, bool)  # no separator among the symbols so far
     padded = np.concatenate([codes, np.zeros(PACKED, codes.dtype)])
@@ -29,13 +39,21 @@ def sorted_suffixes(codes: np.ndarray, depth: int | None = None) -> np.ndarray:
         here = padded[k : k + n]
         key = (key << np.uint64(9)) | np.where(open_, here, 0).astype(np.uint64)
         open_ &= here != 0
+    return PACKED, key, open_
+
+
+def sorted_suffixes(codes: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Suffix array of codes 0 (separator) and 1..256; a suffix ends at its separator, equal ones are in any order.
+
+    With a depth, suffixes that agree in so many symbols may stay in any order."""
+    n = len(codes)
+    h, key, open_ = _first_symbols(codes)
     order = np.argsort(key)
     fresh = np.ones(n, bool)
     fresh[1:] = (key[order[1:]] != key[order[:-1]]) | ~open_[order[1:]]
     rank = np.empty(n, np.int64)
     head = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
     rank[order] = head
-    h = PACKED
     single = fresh & np.append(fresh[1:], True)
     todo = np.flatnonzero(~single)  # places in the order that are not settled, always whole groups
     while len(todo) and (depth is None or h < depth):
