@@ -122,3 +122,60 @@ def test_components(spark):
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     linked = {i for a, b in pairs if a != b for i in (a, b)}
     assert got == {i: root(i) for i in linked}
+
+
+@pytest.mark.parametrize("columns", [4096, 7])
+def test_links_between_against_brute_force(columns, monkeypatch):
+    monkeypatch.setattr(near_dups, "COLUMNS", columns)
+    rng = random.Random(columns)
+    for _ in range(40):
+        base = rng.sample(range(1000), 40)
+        sets = [set(rng.sample(base, rng.randint(30, 40)) + rng.sample(range(1000), rng.randint(0, 4))) for _ in range(rng.randint(2, 14))]
+        label = [rng.choice(b"abcdef") for _ in sets]
+        rows = [(bytes([c]), bytes([i]), np.array(sorted(s), np.uint64).tobytes()) for i, (c, s) in enumerate(zip(label, sets, strict=True))]
+        similar = lambda i, j: 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])  # noqa: B023, E731
+        for split in (None, len(rows) // 2):
+            pairs = [(i, j) for i in range(len(rows)) for j in range(i) if split is None or (j < split <= i)]
+            got = [(a[0], b[0]) for a, b in near_dups.links_between(rows if split is None else rows[:split], None if split is None else rows[split:], 85)] if split != 0 else []
+            assert all(similar(i, j) and label[i] != label[j] for i, j in got)
+            groups = lambda links: {frozenset(g) for g in joined(links, label)}  # noqa: B023, E731
+            if split != 0:
+                assert groups(got) == groups([(i, j) for i, j in pairs if similar(i, j)])
+                assert len(got) < len(set(label))
+
+
+def joined(links, label):
+    """Components that links make of labels."""
+    group = {c: {c} for c in label}
+    for i, j in links:
+        if group[label[i]] is not group[label[j]]:
+            whole = group[label[i]] | group[label[j]]
+            for c in whole:
+                group[c] = whole
+    return group.values()
+
+
+def test_a_large_group_of_loose_copies(spark, monkeypatch):
+    """Copies of one text, some with so many edits of their own that they are linked with nothing, in buckets of many blocks."""
+    monkeypatch.setattr(near_dups, "BLOCK", 16)
+    rng = random.Random(12)
+    base = [f"{rng.randrange(1 << 30):x}" for _ in range(120)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(rng.randint(0, 12)):
+            w[rng.randrange(120)] = f"{rng.randrange(1 << 30):x}"
+        rows.append((i, " ".join(w), "s"))
+    got = sorted([tuple(r)[:4] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()], key=repr)
+    assert got == brute(rows)
+
+
+def test_a_task_that_forgets_sends_again():
+    seen = near_dups.Seen(3)
+    assert [seen.new(k) for k in "abcab"] == [True, True, True, True, True] and not seen.new("b")
+
+
+def test_clashing_columns_are_kept(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(5, text, "s", 1, 2), (3, text, "s", 3, 4)], "doc_id long, text string, source string, _k1 long, keys int")
+    assert [tuple(r) for r in keep_one_each(df).collect()] == [(3, text, "s", 3, 4)]
