@@ -17,7 +17,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.lineage import remove_folder
+from linkloom.lineage import files_of, remove_folder
 from linkloom.llm.common import ensure_checkpoint_dir, small_batches
 from linkloom.llm.near_dups import keep_one_each
 from linkloom.llm.packing import pack_documents
@@ -26,29 +26,34 @@ from linkloom.llm.repeats import remove_repeats
 from linkloom.llm.secrets import redact
 
 
+def compact(rows: DataFrame) -> DataFrame:
+    """rows in files in proportion to what they are made from, not one for each task of the last shuffle."""
+    return rows.coalesce(files_of(rows))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return keep_good(docs)
+    return compact(keep_good(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return keep_one_each(docs)
+    return compact(keep_one_each(docs))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return remove_repeats(docs)
+    return compact(remove_repeats(docs))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return redact(docs)
+    return compact(redact(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return pack_documents(docs)
+    return compact(pack_documents(docs))
 
 
 STAGES = [
