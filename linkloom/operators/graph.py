@@ -121,5 +121,5 @@ def union_graphs(first: DataFrame, second: DataFrame, offset: int | None = None)
 
 
 def neighbours(frontier: DataFrame, edges: DataFrame, visited: DataFrame) -> DataFrame:
-    """Nodes not visited yet that an edge, either way, joins to the frontier."""
-    return undirected(edges).join(frontier.select(F.col("node_id").alias("src")), "src", "left_semi").select(F.col("dst").alias("node_id")).distinct().join(visited, "node_id", "left_anti")
+    """Nodes not visited yet that an edge of a bag that holds each both ways (see undirected) joins to the frontier."""
+    return edges.join(frontier.select(F.col("node_id").alias("src")), "src", "left_semi").select(F.col("dst").alias("node_id")).distinct().join(visited, "node_id", "left_anti")

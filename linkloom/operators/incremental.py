@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.lineage import cut
-from linkloom.operators.graph import neighbours
+from linkloom.operators.graph import neighbours, undirected
 from linkloom.operators.pagerank import DAMPING, MAX_ITERATIONS, Ranking, pagerank
 
 HOPS = 3
@@ -28,9 +29,11 @@ def active_region(seeds: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataF
     """node_id, hop: the seeds and all nodes within so many edges of them, either way."""
     found = cut(seeds.select("node_id", F.lit(0).alias("hop")))
     frontier = found
+    ways = undirected(edges).repartition("src").persist(StorageLevel.MEMORY_AND_DISK)  # each hop joins the frontier to it where it is
     for hop in range(1, hops + 1):
-        frontier = cut(neighbours(frontier, edges, found.select("node_id")).withColumn("hop", F.lit(hop)))
+        frontier = cut(neighbours(frontier, ways, found.select("node_id")).withColumn("hop", F.lit(hop)))
         found = found.unionByName(frontier)
+    ways.unpersist()
     return found
 
 
@@ -61,9 +64,18 @@ def incremental_pagerank(
 ) -> Recomputation:
     """Ranks of the new graph: only nodes within some hops of a change move, the others keep their scaled old rank."""
     began = time.perf_counter()
-    nodes = new_lists.select("node_id")
-    n = nodes.count() if n is None else n
     seeds = cut(changed_nodes(old_lists, new_lists))
+    got = rank_around(seeds, new_lists.select("node_id"), new_edges, old_ranks, n=n, dangling=dangling, tol=tol, max_iter=max_iter, hops=hops, damping=damping)
+    return replace(got, elapsed_ms=1000 * (time.perf_counter() - began))
+
+
+def rank_around(
+    seeds: DataFrame, nodes: DataFrame, new_edges: DataFrame, old_ranks: DataFrame, *, n: int | None = None,
+    dangling: str = "redistribute", tol: float | None = TOLERANCE, max_iter: int = MAX_ITERATIONS, hops: int = HOPS, damping: float = DAMPING,
+) -> Recomputation:
+    """incremental_pagerank where the changed nodes (seeds) are known."""
+    began = time.perf_counter()
+    n = nodes.count() if n is None else n
     region = active_region(seeds, new_edges, hops)
     start = warm_start(old_ranks, nodes, n, damping)
     ranking = pagerank(new_edges, n=n, nodes=nodes, damping=damping, dangling=dangling, tol=tol, max_iter=max_iter, init=start, active=region.select("node_id"))

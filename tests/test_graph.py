@@ -95,4 +95,4 @@ def test_line_endings_repeated_ids_and_bad_targets(spark, tmp_path):
 def test_neighbours(spark):
     edges = edges_of(spark, [(0, 1), (1, 2), (3, 1)])
     visited = spark.createDataFrame([(1,), (2,)], "node_id long")
-    assert rows(graph.neighbours(spark.createDataFrame([(1,)], "node_id long"), edges, visited)) == [(0,), (3,)]
+    assert rows(graph.neighbours(spark.createDataFrame([(1,)], "node_id long"), graph.undirected(edges), visited)) == [(0,), (3,)]
