@@ -467,7 +467,8 @@ def repeat_report(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD) -
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeat_report(table(spark, sf_dir, "documents"))
+    report = repeat_report(table(spark, sf_dir, "documents"))
+    return report.select("*", (F.col("n_bytes") - F.col("n_removed")).alias("kept_bytes"), (F.col("n_removed") > 0).alias("repeated"))
 
 
 QUERIES = {"op7_repeats": op7_repeats}
