@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from linkloom.lineage import cut, with_index
 from linkloom.operators.links import crawlable_links, resolve
-from linkloom.operators.policy import CrawlPolicy, can_continue, capped_body, on_seed_domains, outcome, state_after, url_key
+from linkloom.operators.policy import Budget, CrawlPolicy, capped_body, on_seed_domains, outcome, state_after, url_key
 
 LINKS = 1 << 20  # more links than a body of MAX_BODY bytes can hold: places of one page's links stay together
 Fetches = DataFrame | Callable[[DataFrame], DataFrame]
@@ -60,11 +60,13 @@ def fetch_from(frontier: DataFrame, fetches: DataFrame) -> DataFrame:
     return got.withColumn("state", state_after(F.col("outcome")))
 
 
-def crawl(seeds: DataFrame, fetches: Fetches, policy: CrawlPolicy = CrawlPolicy(), seen: DataFrame | None = None) -> Crawl:
+def crawl(seeds: DataFrame, fetches: Fetches, policy: CrawlPolicy = CrawlPolicy(), seen: DataFrame | None = None, budget: Budget | None = None) -> Crawl:
     """Crawl from seeds (url) over a table of fetches (see fetch_from), or with a function that fetches the URLs of a table.
 
-    seen (url_key), what earlier crawls have met, is not met again; counts and budget begin anew.
+    seen (url_key), what earlier crawls have met, is not met again. budget records the fetches; a level begins only while it
+    may continue. Without one counts begin anew.
     """
+    budget = budget or Budget()
     spark = seeds.sparkSession
     before = None if seen is None else cut(seen.select("url_key").distinct())
     candidates = with_index(seeds.select("url").distinct() if "seq" not in seeds.columns else seeds, ["seq"] if "seq" in seeds.columns else ["url"], "place").select(
@@ -72,17 +74,19 @@ def crawl(seeds: DataFrame, fetches: Fetches, policy: CrawlPolicy = CrawlPolicy(
     )
     states = spark.createDataFrame([], "url string, url_key string, depth int, seq long, outcome string, state string")
     links = spark.createDataFrame([], "seq long, pos int, src_url string, dst_url string")
-    levels = discovered = fetched = 0
+    levels = discovered = 0
+    before_crawl = budget.fetched
     while True:
         if policy.same_domain and levels:
             candidates = on_seed_domains(candidates, seeds)
         known = states.select("url_key") if before is None else states.select("url_key").unionByName(before)
         level = cut(push(candidates, known, policy, discovered))
         size = level.count()
-        if not size or not can_continue(fetched, policy):
+        if not size or not budget.may_continue(policy):
             break
         got = cut(fetch_from(level, fetches(level.select("url")) if callable(fetches) else fetches))
-        levels, discovered, fetched = levels + 1, discovered + size, fetched + size
+        levels, discovered = levels + 1, discovered + size
+        budget.record(size)
         states = states.unionByName(got.select("url", "url_key", "depth", "seq", "outcome", "state"))
         page = got.filter(F.col("outcome") == "OK").select("seq", "url", "depth", F.posexplode(crawlable_links(F.coalesce("html", F.lit("")), policy.links_per_page)).alias("pos", "link"))
         if policy.resolve_links:
@@ -92,7 +96,7 @@ def crawl(seeds: DataFrame, fetches: Fetches, policy: CrawlPolicy = CrawlPolicy(
         again = got.filter((F.col("outcome") == "REDIRECT") & F.col("location").isNotNull()).select(F.col("location").alias("url"), "depth", (F.col("seq") * LINKS).alias("place"))
         candidates = found.select(F.col("link").alias("url"), (F.col("depth") + 1).alias("depth"), (F.col("seq") * LINKS + F.col("pos") + 1).alias("place")).unionByName(again)
     numbered = with_index(links, ["seq", "pos"], "n").select(F.col("n").alias("seq"), "src_url", "dst_url")
-    return Crawl(states, numbered, levels, discovered, fetched)
+    return Crawl(states, numbered, levels, discovered, budget.fetched - before_crawl)
 
 
 def push_links(urls: DataFrame, seen: DataFrame, policy: CrawlPolicy = CrawlPolicy(), discovered: int = 0) -> tuple[DataFrame, int]:

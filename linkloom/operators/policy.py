@@ -38,6 +38,23 @@ def on_seed_domains(urls: DataFrame, seeds: DataFrame, url: str = "url") -> Data
     return urls.withColumn("_domain", F.lower(domain(F.col(url)))).join(domains, "_domain", "left_semi").drop("_domain")
 
 
+@dataclass
+class Budget:
+    """How many pages a crawl has fetched, and whether it was told to stop."""
+
+    fetched: int = 0
+    stopped: bool = False
+
+    def record(self, pages: int = 1) -> None:
+        self.fetched += pages
+
+    def may_continue(self, policy: CrawlPolicy) -> bool:
+        return can_continue(self.fetched, policy, self.stopped)
+
+    def reset(self) -> None:
+        self.fetched, self.stopped = 0, False
+
+
 def can_continue(fetched: int, policy: CrawlPolicy, stopped: bool = False) -> bool:
     return not stopped and (policy.max_pages == 0 or fetched < policy.max_pages)
 

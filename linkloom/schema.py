@@ -1,16 +1,9 @@
-"""Schemas of the engine's tables; readers never infer."""
+"""Schemas of tables that are not read from Parquet; readers never infer."""
 
 from __future__ import annotations
 
-EDGES = "src long, dst long"
-NODES = "node_id long, url string"
-ADJACENCY = "node_id long, outlinks array<long>"
-RANKS = "node_id long, rank double"
 FETCHES = "url string, html string, http_code int, content_type string, outcome string, location string"
-FRONTIER = "url string, depth int, seq long"
-METADATA = "phase1_node_count long, phase1_edge_count long, phase2_total_nodes long, phase2_total_edges long"
 MANIFEST = (
     "timestamp string, mode string, profile string, threads int, max_depth int, max_pages long, seed_hash decimal(20,0), "
     "section string, elapsed_ms double, seeds_added long, discovered long, fetched long, nodes long, edges long"
 )
-STRATEGIES = "strategy string, time_ms double, iterations int, final_diff double, speedup double"

@@ -75,6 +75,21 @@ def save_lines(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
     lines.write.mode(mode).text(path)
 
 
+def copy_lines(spark, source: str, target: str, mode: str = "overwrite") -> None:
+    """Copy a text file or folder, or append it to another (mode append)."""
+    save_lines(spark.read.text(source), target, mode)
+
+
+def show_ranks(ranks: DataFrame, most: int = 20) -> str:
+    """The first rows of a rank table, by rank, as text; printed as well."""
+    top = ranks.agg(F.max("rank").alias("_top"))
+    first = ranks.crossJoin(F.broadcast(top)).orderBy(F.desc("rank"), "node_id").limit(most)
+    percent = F.when(F.col("_top") > 0, 100 * F.col("rank") / F.col("_top")).otherwise(0.0)
+    said = "\n".join(r[0] for r in first.select(F.format_string("node_%d | %.12f | %.6f%%", "node_id", "rank", percent)).collect())
+    print(said)
+    return said
+
+
 def save_key_values(spark, path: str, values: dict[str, object], mode: str = "overwrite", sign: str = ": ") -> None:
     """Phase metadata, or a run's block of a manifest (mode append, sign =)."""
     save_lines(spark.createDataFrame([(f"{k}{sign}{v}",) for k, v in values.items()], "value string").coalesce(1), path, mode)

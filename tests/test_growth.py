@@ -3,15 +3,16 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
-from linkloom.operators import graph
+from linkloom.functions import text
+from linkloom.operators import compare, graph
 from linkloom.operators.crawl import crawl, push_links
 from linkloom.operators.growth import Graph, compare_files, evaluation_report, graph_of, grow, join_by_offset, join_by_url, save_growth
 from linkloom.operators.incremental import incremental_pagerank, warm_start
 from linkloom.operators.pagerank import pagerank, run_preset
-from linkloom.operators.policy import CrawlPolicy, capped_body, outcome
+from linkloom.operators.policy import Budget, CrawlPolicy, capped_body, outcome
 from linkloom.sources import manifest, readers, writers
-from pyspark.sql import functions as F
 
 # Sources of the first published graph (823 nodes) with the ranges of their targets, and of the second (1,166 nodes) what is new.
 PHASE1 = {0: [(1, 1)], 2: [(3, 134)], 135: [(1, 1)], 136: [(137, 382)], 383: [(3, 3), (384, 572), (383, 383), (573, 597)], 598: [(3, 3), (599, 722)], 723: [(724, 725), (3, 3), (726, 822)]}
@@ -177,3 +178,36 @@ def test_a_hub_is_dealt_to_several_tasks(spark):
     split = {r["node_id"]: r["rank"] for r in pagerank(edges, max_iter=12, hub_edges=7).ranks.collect()}
     assert split == pytest.approx(plain, abs=1e-15)
     assert graph.node_count(edges) == 40
+
+
+def test_lines_are_copied_and_appended_and_ranks_shown(spark, tmp_path, capsys):
+    spark.createDataFrame([("a",), ("b",)], "value string").write.text(f"{tmp_path}/x")
+    writers.copy_lines(spark, f"{tmp_path}/x", f"{tmp_path}/y")
+    writers.copy_lines(spark, f"{tmp_path}/x", f"{tmp_path}/y", "append")
+    assert sorted(r[0] for r in spark.read.text(f"{tmp_path}/y").collect()) == ["a", "a", "b", "b"]
+    ranks = spark.createDataFrame([(0, 0.25), (1, 0.5), (2, 0.25)], "node_id long, rank double")
+    said = writers.show_ranks(ranks, 2)
+    assert said.split("\n") == ["node_1 | 0.500000000000 | 100.000000%", "node_0 | 0.250000000000 | 50.000000%"] and said in capsys.readouterr().out
+
+
+def test_a_budget_records_fetches_and_stops_a_crawl(spark):
+    fetches = pages(spark, {"http://s/": ["http://x/"]})
+    budget = Budget()
+    assert crawl(seeds(spark, "http://s/"), fetches, budget=budget).fetched == 2 and budget.fetched == 2
+    budget.stopped = True
+    assert crawl(seeds(spark, "http://s/"), fetches, budget=budget).fetched == 0
+    budget.reset()
+    assert budget.may_continue(CrawlPolicy(max_pages=1))
+    budget.record()
+    assert not budget.may_continue(CrawlPolicy(max_pages=1))
+
+
+def test_reports_name_the_first_nodes(spark):
+    got = compare.compare_strategies(spark.createDataFrame([(0, 1), (2, 1)], "src long, dst long"), n=3, iterations=3, limit=1)
+    said = [r["value"] for r in writers.strategy_report(got).collect()]
+    assert any(x.endswith("SKIPPED") for x in said) and sum(x.startswith("    node_1: ") for x in said) == 2
+
+
+def test_local_timestamp(spark):
+    said = spark.range(1).select(text.local_timestamp()).first()[0]
+    assert datetime.strptime(said, "%Y-%m-%d %H:%M:%S").year > 2000
