@@ -213,42 +213,59 @@ def build(trees: list, anywhere: bool) -> Automaton:
     kinds: dict[tuple, int] = {}
     classes = bytes(kinds.setdefault(tuple(b in s for s in sets), len(kinds)) for b in range(256))
     sample = [classes.index(c) for c in range(len(kinds))]
-    moves = [[[c for c, b in enumerate(sample) if b in s] for s, _ in m] for m in nfa.moves]
-
-    ids: dict[frozenset, int] = {}
-    order: list[frozenset] = []
+    # A set of states is a lane of bits; what a state leads to is one number with a lane for each class of bytes.
+    lane = -(-len(nfa.empty) // 8)
+    bits = [sum(1 << x for x in nfa.closure([y])) for y in range(len(nfa.empty))]
+    leads = [0] * len(nfa.empty)
+    for x, moves in enumerate(nfa.moves):
+        for s, target in moves:
+            for c, b in enumerate(sample):
+                if b in s:
+                    leads[x] |= bits[target] << (8 * lane * c)
+
+    ids: dict[bytes, int] = {}
+    order: list[bytes] = []
+    rows: list[list[int]] = []
 
-    def number(states: frozenset) -> int:
-        if states not in ids:
-            ids[states] = len(order)
+    def number(states: bytes) -> int:
+        k = ids.get(states)
+        if k is None:
+            k = ids[states] = len(order)
             order.append(states)
-        return ids[states]
+        return k
 
-    start = number(nfa.closure([root]))
-    rows: list[list[int]] = []
-    closures: dict[frozenset, frozenset] = {}
+    start = number(bits[root].to_bytes(lane, "little"))
+    cuts = [slice(c * lane, (c + 1) * lane) for c in range(len(sample))]
     while len(rows) < len(order):
-        targets: list[set] = [set() for _ in sample]
-        for x in order[len(rows)]:
-            for reach, (_, target) in zip(moves[x], nfa.moves[x], strict=True):
-                for c in reach:
-                    targets[c].add(target)
-        row = []
-        for t in targets:
-            key = frozenset(t)
-            if key not in closures:
-                closures[key] = nfa.closure(key)
-            row.append(number(closures[key]))
-        rows.append(row)
+        states, to = int.from_bytes(order[len(rows)], "little"), 0
+        while states:
+            low = states & -states
+            to |= leads[low.bit_length() - 1]
+            states ^= low
+        lanes = to.to_bytes(lane * len(sample), "little")
+        rows.append([number(lanes[c]) for c in cuts])
     table = np.array(rows)
-    mask = np.array([sum(1 << k for e, k in ends.items() if e in states) for states in order])
+    mask = np.array([sum(1 << k for e, k in ends.items() if states[e >> 3] >> (e & 7) & 1) for states in order])
     return _minimal(classes, table, mask, start)
 
 
+def _distinct_rows(rows: np.ndarray) -> np.ndarray:
+    """For each row the number of the distinct row it is: grouped by a hash, then compared entry by entry."""
+    weights = np.random.default_rng(1).integers(1, 1 << 62, rows.shape[1], np.uint64) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        mixed = (rows.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        hashes = ((mixed ^ (mixed >> np.uint64(29))) * weights).sum(axis=1, dtype=np.uint64)
+    _, first, group = np.unique(hashes, return_index=True, return_inverse=True)
+    group = group.ravel()
+    if (rows == rows[first[group]]).all():
+        return group
+    return np.unique(rows, axis=0, return_inverse=True)[1].ravel()
+
+
 def _minimal(classes: bytes, table: np.ndarray, mask: np.ndarray, start: int) -> Automaton:
     group = np.unique(mask, return_inverse=True)[1].ravel()
     while True:
-        finer = np.unique(np.column_stack([group, group[table]]), axis=0, return_inverse=True)[1].ravel()
+        finer = _distinct_rows(np.column_stack([group, group[table]]))
         if finer.max() == group.max():
             break
         group = finer
