@@ -56,8 +56,8 @@ def weighted(edges: DataFrame, nodes: DataFrame, hub_edges: int = HUB_EDGES, fee
     return out.select("src", "slot", "dst", "w").unionByName(own).repartition(parts, "src", "slot").sortWithinPartitions("src", "slot"), hubs
 
 
-def _step(links: DataFrame, hubs: DataFrame | None, state: DataFrame, kept: list[str], chains: dict[str, str], damping: float) -> DataFrame:
-    """state with the next column of each chain (new: from); of the others only those to be kept stay."""
+def _step(links: DataFrame, hubs: DataFrame | None, state: DataFrame, kept: list[str], chains: dict[str, str], damping: float, extra: float = 0.0) -> DataFrame:
+    """state with the next column of each chain (new: from), extra and the damped inflow; of the others only those to be kept stay."""
     ranks = state.withColumnRenamed("node_id", "src")
     on = ["src"]
     if hubs is not None:
@@ -65,9 +65,9 @@ def _step(links: DataFrame, hubs: DataFrame | None, state: DataFrame, kept: list
         ranks, on = ranks.join(hubs, "src", "left").withColumn("slot", F.explode(slots)).drop("slots"), ["src", "slot"]
     own = F.col("w").isNull()
     needed = list(dict.fromkeys([*kept, *chains.values()]))
-    met = links.join(ranks, on).select(F.col("dst").alias("node_id"), *(F.when(~own, F.col("w") * F.col(c)).alias(f"{new} in") for new, c in chains.items()), *(F.when(own, F.col(c)).alias(c) for c in needed))
+    met = links.hint("merge").join(ranks, on).select(F.col("dst").alias("node_id"), *(F.when(~own, F.col("w") * F.col(c)).alias(f"{new} in") for new, c in chains.items()), *(F.when(own, F.col(c)).alias(c) for c in needed))
     wide = met.groupBy("node_id").agg(*(F.sum(f"{new} in").alias(f"{new} in") for new in chains), *(F.max(c).alias(c) for c in needed))
-    moved = {new: damping * F.coalesce(F.col(f"{new} in"), F.lit(0.0)) for new in chains}
+    moved = {new: extra + damping * F.coalesce(F.col(f"{new} in"), F.lit(0.0)) for new in chains}
     if "moves" in kept:
         moved = {new: F.when(F.col("moves"), x).otherwise(F.col(chains[new]) if new[0] == "y" else F.lit(0.0)) for new, x in moved.items()}
     return wide.select("node_id", *kept, *(x.alias(new) for new, x in moved.items()))
@@ -111,7 +111,8 @@ def pagerank(
     uniform = init is None and active is None
     feeds = None if active is None else links.join(active.select(F.col("node_id").alias("dst")), "dst", "left_semi").select("src", "dst")
     out, hubs = weighted(links, nodes, hub_edges, feeds)
-    out = out.persist(StorageLevel.MEMORY_AND_DISK)
+    with planned_once(edges.sparkSession):  # a plan that may change would hide how its rows are dealt and sorted
+        out = out.persist(StorageLevel.MEMORY_AND_DISK)
     spreads = dangling == "redistribute"
     state = nodes.select("node_id", F.lit(1.0).alias("z0"))
     flags = []
@@ -124,12 +125,26 @@ def pagerank(
         state = state.join(active.select("node_id", F.lit(True).alias("moves")), "node_id", "left").fillna(False, ["moves"]).withColumn("z0", F.when(F.col("moves"), 1.0).otherwise(0.0))
         flags.append("moves")
     try:
-        return _blocks(out, hubs, cut(state), flags, uniform, n, damping, teleport, spreads, max_iter, tol, min_iter)
+        state = cut(state)
+        if tol is None and not (spreads and state.filter("sink").limit(1).count()):
+            return _steady(out, hubs, state.withColumn("y0", F.lit(1.0 / n)) if uniform else state, [f for f in flags if f == "moves"], damping, teleport, max_iter)
+        return _blocks(out, hubs, state, flags, uniform, n, damping, teleport, spreads, max_iter, tol, min_iter)
     finally:
         for spent in (out, edges, nodes):
             spent.unpersist()
 
 
+def _steady(out: DataFrame, hubs: DataFrame | None, state: DataFrame, flags: list[str], damping: float, teleport: float, max_iter: int) -> Ranking:
+    """Iterations of which no scalar is wanted: only the ranks themselves are carried along."""
+    state = state.select("node_id", *flags, "y0")
+    for j in range(1, max_iter + 1):
+        state = _step(out, hubs, state, flags, {"y1": "y0"}, damping, teleport).withColumnRenamed("y1", "y0")
+        if j % BLOCK == 0 or j == max_iter:
+            with planned_once(out.sparkSession):
+                state = cut(state, as_it_is=True)
+    return Ranking(state.select("node_id", F.col("y0").alias("rank")), max_iter, [], False)
+
+
 def _blocks(out: DataFrame, hubs: DataFrame | None, state: DataFrame, flags: list[str], uniform: bool, n: int, damping: float, teleport: float, spreads: bool, max_iter: int, tol: float | None, min_iter: int) -> Ranking:
     size = BLOCK if tol is None else BLOCK // 2
     ones: DataFrame | None = None  # z(0) to z(size - 1) by node, from the first block
