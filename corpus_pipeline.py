@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from linkloom.lineage import files_of, remove_folder
-from linkloom.llm.common import ensure_checkpoint_dir, small_batches
+from linkloom.llm.common import ensure_checkpoint_dir, settle, small_batches
 from linkloom.llm.near_dups import keep_one_each
 from linkloom.llm.packing import pack_documents
 from linkloom.llm.quality import keep_good
@@ -26,33 +26,43 @@ from linkloom.llm.repeats import remove_repeats
 from linkloom.llm.secrets import redact
 
 
+def begin(spark: SparkSession) -> None:
+    """Executors start a stage without what the one before has left in their memory."""
+    small_batches(spark)
+    settle(spark)
+
+
 def compact(rows: DataFrame) -> DataFrame:
-    """rows in files in proportion to what they are made from, not one for each task of the last shuffle."""
+    """rows in files in proportion to what they are made from, not one for each task of the last shuffle.
+
+    What has run by now to prepare them is cleared away before they are made and written.
+    """
+    settle(rows.sparkSession)
     return rows.coalesce(files_of(rows))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    begin(spark)
     return compact(keep_good(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    begin(spark)
     return compact(keep_one_each(docs))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    begin(spark)
     return compact(remove_repeats(docs))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    begin(spark)
     return compact(redact(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    begin(spark)
     return compact(pack_documents(docs))
 
 
