@@ -95,14 +95,14 @@ def settle(spark: SparkSession) -> None:
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28  # of a bitmap: 128 KB to 32 MB
 
 
-def key_bitmap(keys: DataFrame, column: str):
-    """A broadcast bitmap of 64-bit keys, with 8 bits or more a key up to MOST_BITS. Beyond that more rows pass it; an exact join
-    always follows."""
+def key_bitmap(keys: DataFrame, column: str, each: int = 8):
+    """A broadcast bitmap of 64-bit keys, with so many bits or more a key up to MOST_BITS. Beyond that more rows pass it; an exact
+    join or the index always follows."""
     import numpy as np
 
     count = keys.count()
     bits = LEAST_BITS
-    while bits < min(8 * count, MOST_BITS):
+    while bits < min(each * count, MOST_BITS):
         bits *= 2
     bit = F.pmod(F.col(column), F.lit(bits))
     words = keys.select(bit.alias("b")).groupBy(F.floor(F.col("b") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b % 64 AS INT))")).alias("bits"))
