@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +99,19 @@ class Scan:
         with np.errstate(over="ignore"):
             return mix((self.total[b] - self.total[a]) * self.down[a] + (b - a).astype(np.uint64) * np.uint64(BASE)).astype(np.int64)
 
+    def again(self, pick: np.ndarray, digests: np.ndarray) -> np.ndarray:
+        """Which of the picked snippets begin where the windows of the one before end, and are equal to it by their digests."""
+        out = np.zeros(len(pick), bool)
+        a, b = pick[:-1], pick[1:]
+        out[1:] = (self.start[b] == self.start[a] + self.windows[a]) & (self.windows[b] == self.windows[a]) & (self.minimizer[b] == self.minimizer[a]) & (digests[1:] == digests[:-1])
+        return out
+
+    def periodic(self, i: int, n: int) -> bool:
+        """Whether n snippets from i on, with as many windows each, have equal bytes."""
+        a, period = int(self.start[i]), int(self.windows[i])
+        size = (n - 1) * period + self.length - 1
+        return self.data[a : a + size] == self.data[a + period : a + period + size]
+
     def snippet(self, i: int) -> bytes:
         a = int(self.start[i])
         return self.data[a : a + int(self.windows[i]) + self.length - 1]
@@ -155,14 +169,17 @@ def snippets(texts: DataFrame, length: int, spread: int) -> DataFrame:
     its index tasks a minimizer's occurrence goes to.
 
     rep: a task's number for a snippet. Of a snippet's copies a task sends two to the index; the others go, as
-    part -1, wherever there is room.
+    part -1, wherever there is room, and those of a periodic text that follow one another as one row of all their windows.
     """
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         copies = Copies()
         for scan, _, _ in _scans(it, length):
-            every = np.arange(len(scan.start))
-            keys = zip(scan.minimizer.tolist(), (scan.digests(every) if len(every) else every).tolist(), strict=True)
+            pick = np.arange(len(scan.start))
+            digests = scan.digests(pick) if len(pick) else pick
+            again = scan.again(pick, digests)
+            again[1:] &= again[:-1]  # two of a row of neighbours tell as much as all
+            keys = zip(scan.minimizer[~again].tolist(), digests[~again].tolist(), strict=True)
             yield pa.record_batch([pa.array([k[0] for k in keys if copies.before(k, 80)[0] < 2], pa.int64())], names=["minimizer"])
 
     counts = texts.select("text").mapInArrow(lean(count), "minimizer long").groupBy("minimizer").agg(F.count(F.lit(1)).alias("n"))
@@ -174,12 +191,21 @@ def snippets(texts: DataFrame, length: int, spread: int) -> DataFrame:
         bitmap, copies, own = sent.value, Copies(), TaskContext.get().partitionId() << 40
         for scan, (k1, k2, at), base in _scans(it, length):
             pick = np.flatnonzero(in_bitmap(bitmap, scan.minimizer))
-            columns = (pick, scan.minimizer[pick], scan.text[pick], scan.first[pick], scan.windows[pick], scan.digests(pick) if len(pick) else pick)
-            for i, h, t, first, windows, digest in zip(*(c.tolist() for c in columns), strict=True):
-                text = scan.snippet(i)
-                n, rep = copies.before((h, text), len(text))
-                kind = min(n, FURTHER)
-                yield k1[t] if kind == FURTHER else h, kind, own + rep, k1[t], k2[t], at[t] + base[t] + first, windows, digest, None if n else text
+            digests = scan.digests(pick) if len(pick) else pick
+            columns = [c.tolist() for c in (pick, scan.minimizer[pick], scan.text[pick], scan.first[pick], scan.windows[pick], digests)]
+            heads = np.flatnonzero(~scan.again(pick, digests)).tolist()
+            for x, y in pairwise([*heads, len(pick)]):
+                whole = y - x > 2 and scan.periodic(columns[0][x], y - x)
+                for j in range(x, y):
+                    i, h, t, first, windows, digest = (c[j] for c in columns)
+                    text = scan.snippet(i)
+                    n, rep = copies.before((h, text), len(text))
+                    kind = min(n, FURTHER)
+                    place = at[t] + base[t] + first
+                    yield k1[t] if kind == FURTHER else h, kind, own + rep, k1[t], k2[t], place, windows, digest, None if n else text
+                    if whole and n and j + 1 < y:  # the others are further copies too, side by side
+                        yield k1[t], FURTHER, own + rep, k1[t], k2[t], place + windows, (y - j - 1) * windows, digest, None
+                        break
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches(rows(it), schema, 4096, 2 << 20)
@@ -192,9 +218,9 @@ def snippets(texts: DataFrame, length: int, spread: int) -> DataFrame:
     return parts.select("minimizer", part.cast("int").alias("part"), "kind", "rep", "k1", "k2", "first", "windows", "bytes", (F.col("parts").isNotNull() & ~further).alias("heavy"))
 
 
-def _marked(keyed: list[tuple], length: int) -> tuple[list[int], list[bytes], list[np.ndarray]]:
-    """For (group, text) keys, None for another copy of the key before it: the number of each one's text, the distinct
-    texts, and for each of these which of its windows the index finds elsewhere among all."""
+def _looked_up(keyed: list[tuple], length: int) -> tuple[list[int], list[bytes], list[int], np.ndarray]:
+    """For (group, text) keys: the number of each one's text, the distinct texts, where each of these begins in their index,
+    and which of the index's places begin a window that it finds elsewhere."""
     number: dict[tuple, int] = {}
     copied: list[bool] = []
     of: list[int] = []
@@ -207,11 +233,32 @@ def _marked(keyed: list[tuple], length: int) -> tuple[list[int], list[bytes], li
         of.append(k)
     texts = [text for _, text in number]
     index = RunIndex(texts, np.array(copied))
-    long = index.statistics() >= length
-    begin = (index.ends - index.lengths).tolist()
+    return of, texts, (index.ends - index.lengths).tolist(), index.statistics() >= length
+
+
+def _marked(keyed: list[tuple], length: int) -> tuple[list[int], list[bytes], list[np.ndarray]]:
+    """For (group, text) keys: the number of each one's text, the distinct texts, and for each of these which of its windows
+    the index finds elsewhere among all."""
+    of, texts, begin, long = _looked_up(keyed, length)
     return of, texts, [long[a : a + len(t) - length + 1] for a, t in zip(begin, texts, strict=True)]
 
 
+def _marked_runs(keyed: list[tuple], length: int) -> tuple[list[int], list[bytes], list[list[tuple[int, int]]]]:
+    """Like _marked, with the runs of marked windows of each text."""
+    of, texts, begin, long = _looked_up(keyed, length)
+    runs: list[list[tuple[int, int]]] = [[] for _ in texts]
+    found = _runs(long)  # none goes beyond its text, whose last places begin no window
+    for k, (a, b) in zip((np.searchsorted(begin, [a for a, _ in found], "right") - 1).tolist(), found, strict=True):
+        runs[k].append((a - begin[k], b - begin[k]))
+    return of, texts, runs
+
+
+def _gaps(runs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
+    """The runs of what is between runs, of n places."""
+    edges = [-1, *(x for run in runs for x in run), n]
+    return [(a + 1, b - 1) for a, b in zip(edges[0::2], edges[1::2], strict=True) if a + 1 < b]
+
+
 def _runs(marked: np.ndarray) -> list[tuple[int, int]]:
     """First and last place of each run of true."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], marked.view(np.int8), [0]])))
@@ -272,29 +319,28 @@ def _repeated(texts: DataFrame, length: int, spread: int) -> DataFrame:
             yield group
 
     def marks(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """Runs of a document's windows (k1, k2, first, last), further copies (k1, k2, first, rep), the runs of what these
-        refer to (rep, first, last), and text that goes to the second round (k1, k2, first, bytes or, of marked windows, bytes)."""
+        """Runs of a document's windows (k1, k2, first, last), further copies (k1, k2, first, last, rep), which of those they
+        refer to are marked (rep), and text that goes to the second round (k1, k2, first, bytes or, of marked windows, bytes)."""
         for together in groups(it):
             group = []
             for row in together:
                 if row[2] == FURTHER:
-                    yield row[4], row[5], row[6], None, row[3], None
+                    yield row[4], row[5], row[6], row[6] + row[7] - 1, row[3], None
                 else:
                     group.append(row)
             if not group:
                 continue
             text_of = {row[3]: (row[0], row[8]) for row in group if row[2] == TEXT}
-            of, texts, marked = _marked([text_of[row[3]] for row in group], length)
-            runs = [_runs(m) for m in marked]
+            of, texts, runs = _marked_runs([text_of[row[3]] for row in group], length)
             shown: set[int] = set()
             for row, k in zip(group, of, strict=True):
-                _, _, kind, rep, k1, k2, first, _, _, heavy = row
+                _, _, kind, rep, k1, k2, first, windows, _, heavy = row
                 for a, b in runs[k]:
                     yield k1, k2, first + a, first + b, None, None
-                    if kind == SECOND:
-                        yield None, None, a, b, rep, None
+                if kind == SECOND and runs[k] == [(0, windows - 1)]:  # as a copy's always are
+                    yield None, None, None, None, rep, None
                 if heavy:
-                    for a, b in _runs(~marked[k]):
+                    for a, b in _gaps(runs[k], windows):
                         yield k1, k2, first + a, None, None, texts[k][a : b + length]
                     if k not in shown:
                         for a, b in runs[k]:
@@ -305,10 +351,9 @@ def _repeated(texts: DataFrame, length: int, spread: int) -> DataFrame:
         yield from batches(marks(it), schema, 4096, 2 << 20)
 
     found = cut(rows.mapInArrow(lean(run), FOUND))
-    spans = found.filter("k1 is not null and last is not null").select("k1", "k2", "first", "last")
-    verdicts = found.filter("k1 is null and rep is not null").select("rep", F.col("first").alias("a"), F.col("last").alias("b"))
-    copies = found.filter("k1 is not null and rep is not null").select("rep", "k1", "k2", "first").join(verdicts, "rep")
-    copies = copies.select("k1", "k2", (F.col("first") + F.col("a")).alias("first"), (F.col("first") + F.col("b")).alias("last"))
+    spans = found.filter("k1 is not null and last is not null and rep is null").select("k1", "k2", "first", "last")
+    verdicts = found.filter("k1 is null and rep is not null").select("rep")
+    copies = found.filter("k1 is not null and rep is not null").select("rep", "k1", "k2", "first", "last").join(verdicts, "rep", "left_semi").drop("rep")
     return spans.unionByName(copies).unionByName(_across(found.filter("bytes is not null").select("k1", "k2", "first", "bytes"), length))
 
 

@@ -163,3 +163,18 @@ def test_the_query_tells_passages_of_fifty_words(spark, tmp_path):
     assert all(240 <= got[d]["n_repeated"] < 460 for d in range(40)) and sum(len(p) < 390 for p in passages) > 10
     assert sorted([tuple(r)[:5] for r in got.values()], key=repr) == brute(rows, 400)
     assert all(r["kept_bytes"] == r["n_bytes"] - r["n_removed"] for r in got.values())
+
+
+def test_periodic_texts(spark):
+    """Neighbours with equal bytes go as one row: periods that one text holds, that several share, that are cut off or broken."""
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(n))
+    rows = [(1, "anea. " * 90, "s"), (2, words(30) + "anea. " * 31 + words(9), "s"), (3, "x" * 41, "s"), (4, "y" * 300 + words(20) + "y" * 39, "s")]
+    rows += [(5, "that is so. " * 20 + "that is no. " * 20 + "that is so. " * 9, "s"), (6, "z" * 40, "s"), (7, words(8) + "z" * 40, "s"), (8, None, "s")]
+    for n in (1, 4):
+        df = spark.createDataFrame(rows + rows[:2], SCHEMA).repartition(n)
+        for length in (40, 100):
+            assert sorted([tuple(r) for r in repeat_report(df, length).collect()], key=repr) == brute(rows + rows[:2], length)
+    scan = repeats.Scan([rows[0][1].encode()], 40)
+    again = scan.again(np.arange(len(scan.start)), scan.digests(np.arange(len(scan.start))))
+    assert again.sum() > 60 and scan.periodic(int(np.argmax(again)), 20) and not scan.periodic(len(again) - 3, 5)
